@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
+from larder.llm.bpe import byte_symbols
 from larder.llm.common import Workspace, read
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 600_000
-#: Where white space is anything but single spaces and single line ends between words, the library takes the whole text.
-IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|[\x1c-\x1f]|<\|")
+CACHED_WORDS = 1_200_000
+#: How a byte-level vocabulary splits text into words, numbers, signs and white space.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space other than the space and the line end.
+OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class ByteBpe:
@@ -30,11 +37,13 @@ class ByteBpe:
     the vocabulary's pattern never joins across such a gap, and the space goes to the word after it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
+        byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}
+        self.latin = tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
-        self.line_end = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -43,31 +52,33 @@ class ByteBpe:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
-        todo = list(words)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            self.known.update(zip(part, self._ids(part), strict=True))
+        # the same merges by another library, in half the time; beyond Latin, Unicode tables could differ
+        encode, known = self.latin.encode_ordinary, self.known
+        others = [w for w in words if not (w.isascii() or max(w) < "\u0250")]
+        known.update(zip(others, self._ids(others), strict=True))
+        for w in words.difference(others):
+            known[w] = array("I", encode(w)).tobytes()
+
+    @staticmethod
+    def _words(t: str) -> list[str] | None:
+        """Line ends, first words of lines, and each other word with its space; None if white space is anything but
+        single spaces and line ends between words, or a special token may be there: the library takes such a text whole."""
+        if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t or not t or t[0] in " \n" or t[-1] in " \n" or OTHER_SPACE.search(t):
+            return None
+        return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
     def encode(self, texts: list[str], together: int = 256) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
         out: list[bytes] = []
         for at in range(0, len(texts), together):
-            split: list = []
-            for t in texts[at : at + together]:
-                # a line's first word has no space before it, each other word one
-                split.append(None if not t or IRREGULAR.search(t) else [[w for w in line.replace(" ", "\x1f ").split("\x1f")] for line in t.split("\n")])
-            words = {w for lines in split if lines for line in lines for w in line}
+            part = texts[at : at + together]
+            split = [self._words(t) for t in part]
+            words = set().union(*[x for x in split if x])
             missing = words.difference(self.known)
             if missing:
-                if len(self.known) + len(missing) > CACHED_WORDS:
-                    missing = words
-                self._learn(missing)
-            known = self.known
-            for t, lines in zip(texts[at : at + together], split, strict=True):
-                if lines:
-                    out.append(self.line_end.join([b"".join([known[w] for w in line]) for line in lines]))
-                else:
-                    out.append(self._ids([t])[0] if t else b"")
+                self._learn(words if len(self.known) + len(missing) > CACHED_WORDS else missing)
+            find = self.known.__getitem__
+            out += [b"".join(map(find, x)) if x else self._ids([t])[0] if t else b"" for t, x in zip(part, split, strict=True)]
         return out
 
 
