@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,19 +143,29 @@ def fold_pairs(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             root[:] = jump
 
 
+def segments(radius: int, n: int, bucket: int) -> tuple[int, int]:
+    """(segments, agreeing): the fewest agreeing segments that leave a value's bucket ``bucket`` of n random fingerprints.
+
+    Fingerprints within the radius agree in at least segments - radius segments, so any choice finds all of them.
+    """
+    for agree in range(1, 5):
+        if n >> (BITS * agree // (radius + agree)) <= bucket:
+            break
+    return radius + agree, agree
+
+
 def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int) -> DataFrame:
     """(src, dst) edges that connect every two fingerprints within the radius; reps: (fp long, rep long), fp distinct.
 
-    Two fingerprints within the radius agree in one of radius + 1 segments, so each segment's value is a bucket. A
-    bucket above ``cell_rows`` is split by hash into parts, and every two parts meet in a cell of their own: no task
-    holds more than two parts of a bucket at once and no pair is missed.
+    The values of each choice of agreeing segments are buckets. A bucket above ``cell_rows`` is split by hash into
+    parts, and every two parts meet in a cell of their own: no task holds more than two parts of a bucket at once and
+    no pair is missed.
     """
-    parts = radius + 1
+    parts, agree = segments(radius, reps.count(), 4 * cell_rows)
     bounds = [BITS * i // parts for i in range(parts + 1)]
-    segment = F.array(*[
-        F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("val"))
-        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))
-    ])
+    masks = [sum((1 << bounds[i + 1]) - (1 << bounds[i]) for i in chosen) for chosen in combinations(range(parts), agree)]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    segment = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("val")) for i, m in enumerate(signed)])
     rows = reps.select("fp", "rep", F.explode(segment).alias("s")).select("fp", "rep", "s.seg", "s.val")
     sizes = rows.groupBy("seg", "val").count().where("count > 1")
     rows = rows.join(sizes, ["seg", "val"]).withColumn("g", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int"))
