@@ -15,6 +15,8 @@ from larder.llm.common import read
 
 #: One block is eight 64-bit words, a cache line; a key sets one bit in each of them.
 WORDS = 8
+#: Lists of up to so many entries are broadcast (a few MB); longer ones are joined by shuffle, in so many salted parts.
+BROADCAST_LISTED, SALTS = 1 << 15, 32
 
 
 class BlockedBloom:
@@ -108,7 +110,12 @@ def judge_urls(
     entries = listed.groupBy(F.concat("host", F.lit("\x00"), "path").alias("key")).agg(
         F.max(F.struct(F.concat("host", "path").alias("rule"), F.col("verdict"))).alias("entry")
     )
-    joined = possible.join(entries, "key", "left")
+    if size <= BROADCAST_LISTED:
+        joined = possible.join(F.broadcast(entries), "key", "left")
+    else:  # a listed host may take a third of all rows: its rows go to SALTS tasks
+        salted = possible.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+        copies = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, ["key", "salt"], "left")
     order = F.struct(F.length("entry.rule"), F.col("entry.rule"), F.col("entry.verdict"))
     won = joined.groupBy("row").agg(
         *[F.first(c).alias(c) for c in (id_col, "host", "path")], F.max_by("entry", F.when(F.col("entry").isNotNull(), order)).alias("won")
