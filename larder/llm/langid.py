@@ -16,7 +16,7 @@ from larder.llm.common import Workspace, read
 BUCKETS = 1 << 15
 #: Scores are whole units of 1/UNIT nats, so that sums do not depend on their order.
 UNIT = 1024
-#: Labelled rows the text model is fitted on, and languages it may tell apart.
+#: Labelled rows the text model is fitted on (expected number), and languages it may tell apart.
 TRAIN_ROWS, MAX_LANGUAGES = 3000, 64
 #: A text's trigrams depend on each other: together they count as at most this many independent ones.
 EFFECTIVE = 60
@@ -66,9 +66,13 @@ def _fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of TRAIN_ROWS rows, the same ones in each run: the first by hashed id. Whole texts."""
-    given = docs.select(F.col(text_col).alias("text"), F.lower(F.col(label_col)).alias("label"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"))
-    return given.where("label is not null and label <> '' and text is not null").orderBy("h", "i", "label", F.xxhash64("text")).limit(TRAIN_ROWS).select("text", "label")
+    """(text, label) of about TRAIN_ROWS labelled rows, the same ones in each run: those whose hashed id lies below the
+    share that so many rows are of all. Whole texts; no sort, and no task gathers the sample."""
+    given = docs.select(F.col(text_col).alias("text"), F.lower(F.col(label_col)).alias("label"), F.xxhash64(id_col).alias("h")).where("label <> ''")
+    n = given.select("label").count()
+    if n > TRAIN_ROWS:
+        given = given.where(F.col("h") < F.lit(int((TRAIN_ROWS / n - 0.5) * 2.0**64)).cast("long"))
+    return given.select("text", "label")
 
 
 def fuse(rows: DataFrame, sample: DataFrame, markup: bool = False, min_posterior: float = 0.5) -> DataFrame:
