@@ -259,7 +259,7 @@ def byte_symbols() -> list[str]:
 
 
 #: White space as Unicode has it; str.split() also splits at \x1c-\x1f.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The vocabulary's pattern for words, numbers and signs.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

@@ -1,40 +1,13 @@
-"""Connected components of a distributed edge table."""
+"""Connected components with the operators' own workspace."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from larder.llm.common import Workspace
+from larder.operators import components
 
 
 def connected_components(edges: DataFrame, space: Workspace, label: str = "components") -> DataFrame:
-    """(node, component) of every node in ``edges`` (src, dst long); component is the smallest node reachable.
-
-    Each round takes the smallest label among the neighbours (a partial aggregate, so a hub costs each map task one
-    row) and then follows the label's own label, which halves the remaining path lengths. Rounds are written to the
-    shared folder, the one before is removed; nothing but a change flag reaches the driver. An edge table with
-    repeated rows, loops or no rows is fine; null ends are ignored.
-    """
-    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = space.write(both.groupBy("src", "dst").agg(F.lit(1).alias("one")).select("src", "dst"), f"{label}-edges")
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    labels = space.write(labels, f"{label}-0")
-    turn = 0
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
-        ahead = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
-        moved = lower.join(ahead, "via").select("node", "was", F.least("via", "beyond").alias("component"))
-        turn += 1
-        now = space.write(moved, f"{label}-{turn}")
-        changed = now.where(F.col("component") < F.col("was")).limit(1).count()
-        space.drop(f"{label}-{turn - 1}")
-        labels = now.select("node", "component")
-        if not changed:
-            return labels
+    """(node, component) of every node in ``edges`` (src, dst long), see larder.operators.components."""
+    return components.connected_components(edges, space.write, space.drop, label)
