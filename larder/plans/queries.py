@@ -200,7 +200,10 @@ QUERIES = {
     "sort_per100": (_rows(replace(ANY, sort=("pricePer100", "asc"))), _rows_sql("true", "per100", False)),
     "sort_price_desc": (_rows(replace(ANY, sort=("price", "desc"))), _rows_sql("true", "price", True)),
     "sort_title_uk": (_rows(replace(ANY, sort=("title", "asc"))), None),
-    "size_labels": (labels, None),
+    "size_labels": (
+        labels,
+        _with("SELECT id, CASE WHEN unit = 'kg' THEN 'за кг' WHEN unit = 'l' THEN 'за л' WHEN weight > 0 THEN CAST(CAST(weight AS INTEGER) AS VARCHAR) || chr(160) || 'г' WHEN volume > 0 THEN CAST(CAST(volume AS INTEGER) AS VARCHAR) || chr(160) || 'мл' ELSE 'шт' END AS size_label FROM p"),
+    ),
     "facet_counts": (facet_counts, _with("SELECT cat, count(*) AS hits FROM p WHERE cat <> 'pets' GROUP BY cat")),
     "category_blocks": (category_blocks, _with("SELECT cat AS id, count(*) AS hits FROM p WHERE store = 'north' AND inStock AND cat <> 'pets' GROUP BY cat")),
     "category_summary": (
