@@ -26,7 +26,8 @@ class BlockedBloom:
         self.blocks = np.zeros((max(1, -(-capacity * bits_per_key // 512)), WORDS), np.uint64)
 
     def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        block = (hashes >> np.uint64(48)) * np.uint64(len(self.blocks)) >> np.uint64(16)
+        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        block = mixed * np.uint64(len(self.blocks)) >> np.uint64(32)
         shifts = np.uint64(6) * np.arange(WORDS, dtype=np.uint64)
         return block.astype(np.int64), np.uint64(1) << ((hashes[:, None] >> shifts) & np.uint64(63))
 
