@@ -271,3 +271,50 @@ def test_license_odd(spark):
     assert got[1] == ("MIT", "", 3) and got[4] == ("MIT", "", 1) and got[7] == ("MIT", "", 1) and got[8] == ("", "<Rights>" * 3, 3) and got[2] == ("", "", 0)
     assert license_scan.scan_licenses(docs(spark, []).limit(0)).count() == 0
     assert all(re.search(word, pattern) for _, word, pattern in license_scan.SENTENCES)
+
+
+def jaccard_classes(rows, shingle, similarity):
+    sets = {i: set(simhash._hashes((t or "").encode(), shingle)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            shared = len(sets[a] & sets[b])
+            if a < b and (sets[a] == sets[b] or shared >= similarity * (len(sets[a]) + len(sets[b]) - shared)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(8)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "x" * 100_000)]
+    for g in range(12):
+        base = words(rng, 200).split()
+        for k in range(5):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 12))):
+                w[rng.randrange(200)] = words(rng, 1, "xyz")
+            rows.append((100 * g + 10 + k, " ".join(w)))
+    df = docs(spark, [*rows, (None, "no id"), (4, "one")]).withColumns({"fp": F.lit(1), "rep": F.lit(2)})
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()}
+    want = jaccard_classes(rows, 5, 0.8)
+    assert set(got) == set(want)
+    assert sum(got[i] == want[i] for i in want) >= 0.93 * len(want)
+    # a class is never wider than the brute-force one
+    assert all(want[got[i]] == want[i] for i in want)
+    assert simhash.near_duplicate_classes(docs(spark, []).limit(0)).count() == 0
+
+
+def test_near_duplicates_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = jaccard_classes(rows, 5, 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs(spark, rows)).collect()}
+    gone, known = {i for i in want if want[i] < i}, {i for i in got if got[i] < i}
+    assert known <= gone and len(known) >= 0.9 * len(gone)
