@@ -25,9 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of SimHash fingerprints over five words that differ in at most
-    seven of 64 bits: far below what unrelated texts reach by chance."""
-    return keep_one_of_each(docs, shingle=5, radius=7)
+    """One document, the smallest doc_id, of each group of texts alike by 0.8 or more in five-word shingles."""
+    return keep_one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
