@@ -36,19 +36,29 @@ def _hashes(text: bytes, shingle: int) -> list[int]:
     return [xxh64_intdigest(view[a:b], 42) for a, b in zip(starts, ends, strict=True)]
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of a whole text, A-Z lower-cased; zero without words."""
-    hashes = _hashes(text, shingle)
-    if not hashes:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        part = np.array(hashes[at : at + CHUNK], dtype=np.uint64)
+        part = hashes[at : at + CHUNK]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (counts * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash of a whole text, A-Z lower-cased; zero without words."""
+    return majority(np.array(_hashes(text, shingle), dtype=np.uint64))
+
+
+def two_fingerprints(text: bytes, shingle: int) -> tuple[int, int]:
+    """The fingerprint, and a second one of remixed hashes, whose bits differ independently."""
+    hashes = np.array(_hashes(text, shingle), dtype=np.uint64)
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return majority(hashes), majority(mixed ^ (mixed >> np.uint64(32)))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, fp long) of every row."""
 
@@ -61,6 +71,18 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     return docs.select(id_col, text_col).mapInArrow(make, "doc_id long, fp long")
 
 
+def fingerprint_pairs(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp long, fp2 long) of every row."""
+
+    def make(stream):
+        for batch in stream:
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            out = np.array([two_fingerprints(t or b"", shingle) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["doc_id", "fp", "fp2"])
+
+    return docs.select(id_col, text_col).mapInArrow(make, "doc_id long, fp long, fp2 long")
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
     """Vertical store: row b holds bit b of every value, 64 values a word; one spare word at the end."""
     lanes = -(-len(values) // 64) * 64
@@ -162,10 +184,11 @@ def segments(radius: int, n: int, bucket: int) -> tuple[int, int]:
     return radius + agree, agree
 
 
-def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, nearest: bool = False) -> DataFrame:
+def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, nearest: int | None = None) -> DataFrame:
     """(src, dst) edges that connect every two fingerprints within the radius; reps: (fp long, rep long), fp distinct.
 
-    With ``nearest`` each row has an edge to the closest row of smaller rep within the radius, for each cell it is in.
+    With ``nearest`` each row has an edge to the closest row of smaller rep within the radius, for each cell it is in,
+    of the rows whose second fingerprints (fp2 long) differ in at most ``nearest`` bits.
     ``scheme`` sets (segments, agreeing): with fewer than radius + agreeing segments some pairs never meet.
 
     The values of each choice of agreeing segments are buckets. A bucket above ``cell_rows`` is split by hash into
@@ -177,25 +200,28 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
     masks = [sum((1 << bounds[i + 1]) - (1 << bounds[i]) for i in chosen) for chosen in combinations(range(parts), agree)]
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     segment = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("val")) for i, m in enumerate(signed)])
-    rows = reps.select("fp", "rep", F.explode(segment).alias("s")).select("fp", "rep", "s.seg", "s.val")
+    carried = ["fp", "rep"] + ["fp2"] * (nearest is not None)
+    rows = reps.select(*carried, F.explode(segment).alias("s")).select(*carried, "s.seg", "s.val")
     sizes = rows.groupBy("seg", "val").count().where("count > 1")
     rows = rows.join(sizes, ["seg", "val"]).withColumn("g", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int"))
     rows = rows.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     meets = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("g") - 1), F.array("a")))
     rows = rows.withColumn("b", F.explode(meets)).select(
-        "fp", "rep", F.xxhash64("seg", "val", F.least("a", "b"), F.greatest("a", "b")).alias("cell")
+        *carried, F.xxhash64("seg", "val", F.least("a", "b"), F.greatest("a", "b")).alias("cell")
     )
 
-    def links(fp, rep, cell):
+    def links(cell, fp, rep, fp2=None):
         order = np.lexsort((rep, cell))
         fp, rep, cell = fp[order].view(np.uint64), rep[order], cell[order]
-        if nearest:
-            best, at = np.full(len(fp), BITS + 1), np.zeros(len(fp), np.int64)
+        if nearest is not None:
+            fp2 = fp2[order].view(np.uint64)
+            best, at = np.full(len(fp), 2 * BITS + 1), np.zeros(len(fp), np.int64)
             for left, right in close_pairs(fp, cell, radius):
-                apart = np.bitwise_count(fp[left] ^ fp[right])
-                closer = apart < best[right]
+                second = np.bitwise_count(fp2[left] ^ fp2[right])
+                apart = np.bitwise_count(fp[left] ^ fp[right]) + second
+                closer = (second <= nearest) & (apart < best[right])
                 best[right[closer]], at[right[closer]] = apart[closer], left[closer]
-            moved = np.flatnonzero(best <= BITS)
+            moved = np.flatnonzero(best <= 2 * BITS)
         else:
             at = np.arange(len(fp))
             for left, right in close_pairs(fp, cell, radius):
@@ -207,17 +233,17 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in stream:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("fp", "rep", "cell")))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("cell", *carried)))
             n += batch.num_rows
             if n < GATHERED:
                 continue
-            fp, rep, cell = map(np.concatenate, zip(*held, strict=True))
-            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last cell may go on in the next batch
             if cut:
-                yield links(fp[:cut], rep[:cut], cell[:cut])
-            held, n = [(fp[cut:], rep[cut:], cell[cut:])], len(fp) - cut
+                yield links(*[x[:cut] for x in columns])
+            held, n = [tuple(x[cut:] for x in columns)], len(columns[0]) - cut
         if n > 1:
-            yield links(*map(np.concatenate, zip(*held, strict=True)))
+            yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "src long, dst long")
 
@@ -263,12 +289,12 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
 
 
 def near_duplicate_classes(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, scheme: tuple[int, int] = (10, 2), cell_rows: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, second: int = 20, scheme: tuple[int, int] = (10, 2), cell_rows: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) of texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
 
     SimHash fingerprints that agree in ``scheme`` segments meet in a cell, where the bit-sliced comparison gives each
-    its nearest of smaller id within ``radius`` bits; these pairs, at most one a row and cell, are verified by their whole
+    its nearest of smaller id within ``radius`` bits, and ``second`` bits of a second fingerprint; these pairs, at most one a row and cell, are verified by their whole
     shingle sets, and components are built of what passes. Equal fingerprints count as equal texts. A link below the
     similarity is never made; a text whose link never meets, or whose nearest fails while another would pass, is missed
     (measured recall in the README).
@@ -278,9 +304,11 @@ def near_duplicate_classes(
     """
     space = Workspace(docs.sparkSession, "near")
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = space.write(fingerprints(known, shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("fp").alias("fp")), "fps")
-    reps = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    pairs = space.write(link_fingerprints(reps, radius, cell_rows, scheme, nearest=True).distinct(), "pairs")
+    least = fingerprint_pairs(known, shingle, "doc_id", "text").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("least"))
+    prints = space.write(least.select("doc_id", "least.*"), "fps")
+    reps = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "fp2")).alias("least"))
+    reps = space.write(reps.select("fp", "least.*"), "reps")
+    pairs = space.write(link_fingerprints(reps, radius, cell_rows, scheme, nearest=second).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     sets = shingle_sets(known.join(ends, "doc_id", "left_semi"), shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     sets = space.write(sets, "sets")
