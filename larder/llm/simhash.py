@@ -52,8 +52,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def two_fingerprints(text: bytes, shingle: int) -> tuple[int, int]:
-    """The fingerprint, and a second one of remixed hashes, whose bits differ independently."""
-    hashes = np.array(_hashes(text, shingle), dtype=np.uint64)
+    """The fingerprint of the distinct shingles, and a second one of remixed hashes, whose bits differ independently."""
+    hashes = np.unique(np.array(_hashes(text, shingle), dtype=np.uint64))
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return majority(hashes), majority(mixed ^ (mixed >> np.uint64(32)))
@@ -293,11 +293,11 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """(doc_id, component_id) of texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
 
-    SimHash fingerprints that agree in ``scheme`` segments meet in a cell, where the bit-sliced comparison gives each
-    its nearest of smaller id within ``radius`` bits, and ``second`` bits of a second fingerprint; these pairs, at most one a row and cell, are verified by their whole
-    shingle sets, and components are built of what passes. Equal fingerprints count as equal texts. A link below the
-    similarity is never made; a text whose link never meets, or whose nearest fails while another would pass, is missed
-    (measured recall in the README).
+    Two SimHash fingerprints are taken of the distinct shingles. Rows of which either agrees in ``scheme`` segments meet
+    in a cell, where the bit-sliced comparison gives each its nearest of smaller id within ``radius`` bits, and
+    ``second`` bits of the other fingerprint; these pairs, at most one a row and cell, are verified by their whole
+    shingle sets, and components are built of what passes. Texts with both fingerprints equal count as equal. A text
+    whose link never meets, or whose nearest fails while another would pass, is missed (measured recall in the README).
 
     Null and wordless texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
     document, of which the smallest text counts. Other columns are ignored. Empty input: no rows.
@@ -306,9 +306,10 @@ def near_duplicate_classes(
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = fingerprint_pairs(known, shingle, "doc_id", "text").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("least"))
     prints = space.write(least.select("doc_id", "least.*"), "fps")
-    reps = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "fp2")).alias("least"))
-    reps = space.write(reps.select("fp", "least.*"), "reps")
-    pairs = space.write(link_fingerprints(reps, radius, cell_rows, scheme, nearest=second).distinct(), "pairs")
+    reps = space.write(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "reps")
+    swapped = reps.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
+    met = [link_fingerprints(x, radius, cell_rows, scheme, nearest=second) for x in (reps, swapped)]
+    pairs = space.write(met[0].unionByName(met[1]).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     sets = shingle_sets(known.join(ends, "doc_id", "left_semi"), shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     sets = space.write(sets, "sets")
@@ -317,8 +318,8 @@ def near_duplicate_classes(
     shared = F.size(F.array_intersect("a", "b"))
     links = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
     classes = connected_components(links, space, "classes")
-    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "component_id")
+    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
