@@ -184,11 +184,12 @@ def segments(radius: int, n: int, bucket: int) -> tuple[int, int]:
     return radius + agree, agree
 
 
-def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, nearest: int | None = None) -> DataFrame:
+def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, second: int | None = None) -> DataFrame:
     """(src, dst) edges that connect every two fingerprints within the radius; reps: (fp long, rep long), fp distinct.
 
-    With ``nearest`` each row has an edge to the closest row of smaller rep within the radius, for each cell it is in,
-    of the rows whose second fingerprints (fp2 long) differ in at most ``nearest`` bits.
+    With ``second`` rows carry another fingerprint (fp2 long), and only pairs count of which those differ in at most
+    ``second`` bits. Each row then has an edge to its closest row of smaller rep, for each cell it is in, and rows that are so met
+    have one to themselves: all rows of any pair are in the result.
     ``scheme`` sets (segments, agreeing): with fewer than radius + agreeing segments some pairs never meet.
 
     The values of each choice of agreeing segments are buckets. A bucket above ``cell_rows`` is split by hash into
@@ -200,7 +201,7 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
     masks = [sum((1 << bounds[i + 1]) - (1 << bounds[i]) for i in chosen) for chosen in combinations(range(parts), agree)]
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     segment = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("val")) for i, m in enumerate(signed)])
-    carried = ["fp", "rep"] + ["fp2"] * (nearest is not None)
+    carried = ["fp", "rep"] + ["fp2"] * (second is not None)
     rows = reps.select(*carried, F.explode(segment).alias("s")).select(*carried, "s.seg", "s.val")
     sizes = rows.groupBy("seg", "val").count().where("count > 1")
     rows = rows.join(sizes, ["seg", "val"]).withColumn("g", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int"))
@@ -210,24 +211,37 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
         *carried, F.xxhash64("seg", "val", F.least("a", "b"), F.greatest("a", "b")).alias("cell")
     )
 
-    def links(cell, fp, rep, fp2=None):
+    def edges(src, dst):
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    def folded(cell, fp, rep):
+        at = np.arange(len(fp))
+        for left, right in close_pairs(fp, cell, radius):
+            fold_pairs(at, left, right)
+        moved = np.flatnonzero(at != np.arange(len(at)))
+        yield edges(rep[moved], rep[at[moved]])
+
+    def closest(cell, fp, rep, fp2):
+        best, at, met = np.full(len(fp), 2 * BITS + 1), np.arange(len(fp)), np.zeros(len(fp), bool)
+        for left, right in close_pairs(fp, cell, radius):
+            other = np.bitwise_count(fp2[left] ^ fp2[right])
+            apart = np.bitwise_count(fp[left] ^ fp[right]) + other
+            near = other <= second
+            met[left[near]] = True
+            closer = near & (apart < best[right])
+            best[right[closer]], at[right[closer]] = apart[closer], left[closer]
+        moved = np.flatnonzero(met | (best <= 2 * BITS))
+        yield edges(rep[moved], rep[at[moved]])
+
+    compare_cells = folded if second is None else closest
+
+    def links(cell, fp, rep, *others):
         order = np.lexsort((rep, cell))
-        fp, rep, cell = fp[order].view(np.uint64), rep[order], cell[order]
-        if nearest is not None:
-            fp2 = fp2[order].view(np.uint64)
-            best, at = np.full(len(fp), 2 * BITS + 1), np.zeros(len(fp), np.int64)
-            for left, right in close_pairs(fp, cell, radius):
-                second = np.bitwise_count(fp2[left] ^ fp2[right])
-                apart = np.bitwise_count(fp[left] ^ fp[right]) + second
-                closer = (second <= nearest) & (apart < best[right])
-                best[right[closer]], at[right[closer]] = apart[closer], left[closer]
-            moved = np.flatnonzero(best <= 2 * BITS)
-        else:
-            at = np.arange(len(fp))
-            for left, right in close_pairs(fp, cell, radius):
-                fold_pairs(at, left, right)
-            moved = np.flatnonzero(at != np.arange(len(at)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[at[moved]])], ["src", "dst"])
+        columns = [x[order] for x in (cell, fp, rep, *others)]
+        columns[1] = columns[1].view(np.uint64)
+        if others:
+            columns[3] = columns[3].view(np.uint64)
+        yield from compare_cells(*columns)
 
     def compare(stream):
         held: list[tuple[np.ndarray, ...]] = []
@@ -240,10 +254,10 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last cell may go on in the next batch
             if cut:
-                yield links(*[x[:cut] for x in columns])
+                yield from links(*[x[:cut] for x in columns])
             held, n = [tuple(x[cut:] for x in columns)], len(columns[0]) - cut
         if n > 1:
-            yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "src long, dst long")
 
@@ -288,16 +302,49 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     return docs.select(id_col, text_col).mapInArrow(make, "doc_id long, shingles array<long>")
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose whole sets overlap by ``similarity`` (Jaccard); sets: (doc_id, shingles)."""
+    one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s)) for c, s in (("src", "a"), ("dst", "b")))
+    both = pairs.join(one, "src").join(two, "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of different components that may overlap by ``similarity``; sets: (doc_id, component, shingles).
+
+    Each set is ordered by the number of sets that hold a shingle. Sets alike by s share one of their first
+    n - ceil(s * n) + 1 shingles, and behind their first shared one must be enough for the overlap they need. So near
+    copies that differ too much, each by words of its own, make no pair. No pair alike by ``similarity`` is missed.
+    """
+    near_zero = 1e-9
+    held = sets.select("doc_id", "component", F.explode("shingles").alias("shingle"))
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    ranked = held.join(often, "shingle").groupBy("doc_id", "component").agg(
+        F.array_sort(F.collect_list(F.struct("often", "shingle", (F.col("low") < F.col("high")).alias("mixed")))).alias("ranked")
+    )
+    n = F.size("ranked")
+    ranked = ranked.select("doc_id", "component", n.alias("n"), F.slice("ranked", 1, (n - F.ceil(n * similarity - near_zero) + 1).cast("int")).alias("prefix"))
+    first = ranked.select("doc_id", "component", "n", F.posexplode("prefix").alias("at", "held")).where("held.mixed")
+    first = first.select("doc_id", "component", "n", (F.col("n") - F.col("at")).alias("left"), F.col("held.shingle").alias("shingle"))
+    one, two = first.alias("one"), first.alias("two")
+    enough = F.least("one.left", "two.left") * (1 + similarity) + near_zero >= (F.col("one.n") + F.col("two.n")) * similarity
+    meet = (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.doc_id") < F.col("two.doc_id")) & (F.col("one.component") != F.col("two.component"))
+    return one.join(two, meet & enough).select(F.col("one.doc_id").alias("src"), F.col("two.doc_id").alias("dst")).distinct()
+
+
 def near_duplicate_classes(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, second: int = 20, scheme: tuple[int, int] = (10, 2), cell_rows: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) of texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
 
     Two SimHash fingerprints are taken of the distinct shingles. Rows of which either agrees in ``scheme`` segments meet
-    in a cell, where the bit-sliced comparison gives each its nearest of smaller id within ``radius`` bits, and
-    ``second`` bits of the other fingerprint; these pairs, at most one a row and cell, are verified by their whole
-    shingle sets, and components are built of what passes. Texts with both fingerprints equal count as equal. A text
-    whose link never meets, or whose nearest fails while another would pass, is missed (measured recall in the README).
+    in a cell, where the bit-sliced comparison finds those within ``radius`` bits, and ``second`` bits of the other
+    fingerprint. First each row has its nearest of smaller id in each cell verified by whole shingle sets, which
+    joins most of a group at a cost linear in its size. Then all rows that met any are compared across classes by an
+    exact join on their rarest shingles and verified, so no partner is left out. Texts with both fingerprints equal
+    count as equal. A link is missed only where neither fingerprint brings one of its texts near to any other
+    (measured recall in the README).
 
     Null and wordless texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
     document, of which the smallest text counts. Other columns are ignored. Empty input: no rows.
@@ -307,18 +354,23 @@ def near_duplicate_classes(
     least = fingerprint_pairs(known, shingle, "doc_id", "text").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("least"))
     prints = space.write(least.select("doc_id", "least.*"), "fps")
     reps = space.write(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "reps")
+
     swapped = reps.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
-    met = [link_fingerprints(x, radius, cell_rows, scheme, nearest=second) for x in (reps, swapped)]
-    pairs = space.write(met[0].unionByName(met[1]).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    met = [link_fingerprints(x, radius, cell_rows, scheme, second) for x in (reps, swapped)]
+    near = space.write(met[0].unionByName(met[1]).distinct(), "near")
+    ends = near.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     sets = shingle_sets(known.join(ends, "doc_id", "left_semi"), shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     sets = space.write(sets, "sets")
-    one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s)) for c, s in (("src", "a"), ("dst", "b")))
-    both = pairs.join(one, "src").join(two, "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-    classes = connected_components(links, space, "classes")
-    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
+
+    def classed(links: DataFrame, label: str) -> DataFrame:
+        classes = connected_components(links, space, label)
+        return reps.join(classes, reps["rep"] == classes["node"], "left").select(*reps.columns, F.coalesce("component", "rep").alias("component"))
+
+    links = space.write(_similar(near.where("src != dst"), sets, similarity), "links")
+    firsts = classed(links, "first").select(F.col("rep").alias("doc_id"), "component")
+    rest = space.write(prefix_pairs(sets.join(firsts, "doc_id"), similarity), "rest")
+    links = links.unionByName(_similar(rest, sets, similarity))
+    named = classed(links, "classes").select("fp", "fp2", F.col("component").alias("component_id"))
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
 
 
