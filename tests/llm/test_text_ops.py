@@ -318,3 +318,22 @@ def test_near_duplicates_whole_table(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs(spark, rows)).collect()}
     gone, known = {i for i in want if want[i] < i}, {i for i in got if got[i] < i}
     assert known <= gone and len(known) >= 0.9 * len(gone)
+
+
+def test_prefix_pairs_miss_none(spark):
+    rng = random.Random(3)
+    sets = {}
+    for g in range(8):
+        base = [rng.getrandbits(62) for _ in range(rng.choice((1, 5, 35, 60)))]
+        for k in range(8):
+            changed = rng.sample(range(len(base)), rng.randrange(1 + len(base) // 5))
+            sets[10 * g + k] = sorted({rng.getrandbits(62) if i in changed else x for i, x in enumerate(base)})
+    sets[99] = []
+    rows = [(i, i % 3, s) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "doc_id long, component long, shingles array<long>")
+    got = {(r.src, r.dst) for r in simhash.prefix_pairs(df, 0.8).collect()}
+    both = [(a, b, set(sets[a]), set(sets[b])) for a in sets for b in sets if a < b and a % 3 != b % 3]
+    want = {(a, b) for a, b, x, y in both if x and y and 5 * len(x & y) >= 4 * len(x | y)}
+    assert want and want <= got
+    assert all(a % 3 != b % 3 for a, b in got)
+    assert simhash.prefix_pairs(df.limit(0), 0.8).count() == 0
