@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one operator, removed when the driver ends."""
+    """Intermediate tables of one operator run, removed when the driver ends, or before by drop().
+
+    A written table cuts the lineage: a lost executor costs a reread, not a recomputation, and every later step sees the
+    same rows.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -37,9 +41,12 @@ class Scratch:
         except Exception:  # the session has ended
             pass
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+        self._remove(self.path(name))
