@@ -1,70 +1,48 @@
-"""What the operators of this subpackage share: the shared folder, tables written there, input guards."""
+"""What the operators of this subpackage share: tables in the shared folder, batch sizes, joins with hot keys, vectors."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.sources.storage import Scratch as Workspace
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["Workspace", "bounded_batches", "join_by_key", "keyed_vectors", "read"]
 
+#: A key is hot with a SHARE-th of all rows or more, so there are at most SHARE hot keys, whatever the rows.
+SHARE = 4096
+#: Texts are long: an Arrow batch of the session's default size would take 64 MB in the JVM and again in Python.
+BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a local session (tests) may lack the setting; it then gets a temporary folder.
-    """
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_to:
-        return set_to.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="larder-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir() or made
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
-class Workspace:
-    """Tables of one operator run, written below the shared folder and removed when the driver ends.
+def join_by_key(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with a table that has one row a key and in column ``n`` how many rows hold it.
 
-    A written table cuts the lineage: a lost executor costs a reread, not a recomputation, and
-    every later step sees the same rows in the same order.
+    ``total`` is the number of rows. Hot keys are broadcast, at most SHARE rows of the table, so that no task gets all
+    rows of a key; the others are joined by shuffle. Both sides are read twice and should be written tables. Rows with
+    a null in the key meet nothing. Column ``n`` is not returned.
     """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._quietly_remove)
-
-    def _quietly_remove(self) -> None:
-        try:
-            remove(self.spark, self.root)
-        except Exception:  # the session may be gone already; files below the shared folder are then the cluster's to clear
-            pass
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        remove(self.spark, self.path(name))
+    hot, cold = table.where(F.col(n) * SHARE >= total).drop(n), table.where(F.col(n) * SHARE < total).drop(n)
+    keyed = rows.dropna(subset=on)
+    found = keyed.join(F.broadcast(hot), on)
+    others = keyed.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    found = found.unionByName(others)
+    if how == "left":
+        added = [f for f in table.drop(n).schema.fields if f.name not in on]
+        none = rows.where(" or ".join(f"`{c}` is null" for c in on)).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+        found = found.unionByName(none)
+    return found
 
 
 def keyed_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from larder.llm.common import Workspace, read
+from larder.llm.common import Workspace, bounded_batches, join_by_key, read
 
 #: Stripped at both ends of a line: space and \t \n \v \f \r.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -35,53 +38,76 @@ class LineRuns:
 
     Batches must come in descending document order. A new batch is merge-anti-joined with the entries of the runs that
     have reached ``min_docs``: their fate and their keeper are settled, so the batch adds nothing to them. What is left
-    is written as a run of its own, sorted by hash. Once a level holds ``fanout`` runs they are merged into one run of
-    the next level, counts added up.
+    is written as a run of its own. Once a level holds ``fanout`` runs they are merged into one run of the next level,
+    counts added up.
+
+    Runs are tables bucketed and sorted by hash, one file a bucket, so that their side of each join and merge is neither
+    shuffled nor sorted again. They are dropped by close().
     """
 
-    def __init__(self, space: Workspace, min_docs: int, fanout: int = 3):
-        self.space, self.min_docs, self.fanout = space, min_docs, fanout
-        self.levels: list[dict[str, DataFrame]] = [{}]
-        self.made = 0
-
-    def _add(self, level: int, entries: DataFrame) -> None:
-        name = f"run-{self.made}"
-        self.made += 1
-        while len(self.levels) <= level:
-            self.levels.append({})
-        self.levels[level][name] = self.space.write(entries.sortWithinPartitions("h"), name)
-
-    def _all(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level.values()]
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-
-    def absorb(self, lines: DataFrame) -> None:
-        """lines: (h, doc_id), documents all smaller than those of earlier batches."""
-        entries = lines.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top"))
-        for run in self._all():
-            settled = run.where(F.col("n") >= self.min_docs).select("h")
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, space: Workspace, min_docs: int, fanout: int = 2):
+        self.space, self.spark, self.min_docs, self.fanout = space, space.spark, min_docs, fanout
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.held: set[str] = set()
+
+    def _write(self, entries: DataFrame) -> str:
+        name = f"larder_run_{uuid.uuid4().hex}"
+        was = self.spark.conf.get(self.ORDERED)
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            entries.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", self.space.path(name)).saveAsTable(name)
+        finally:
+            self.spark.conf.set(self.ORDERED, was)
+        self.held.add(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.space.drop(name)
+        self.held.discard(name)
+
+    def _merge(self, one: str, two: str) -> str:
+        a, b = (self.spark.table(x).select("h", F.col("n").alias(f"n{i}"), F.col("top").alias(f"top{i}")) for i, x in enumerate((one, two)))
+        added = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+        name = self._write(a.join(b.hint("merge"), "h", "full").select("h", added.alias("n"), F.greatest("top0", "top1").alias("top")))
+        self._drop(one)
+        self._drop(two)
+        return name
+
+    def against(self, entries: DataFrame) -> DataFrame:
+        """The entries that no run has settled."""
+        for run in [x for level in self.levels for x in level]:
+            settled = self.spark.table(run).where(F.col("n") >= self.min_docs).select("h")
             entries = entries.join(settled.hint("merge"), "h", "left_anti")
-        self._add(0, entries)
+        return entries
+
+    def absorb(self, entries: DataFrame) -> None:
+        """entries: (h, n, top) of a batch whose documents are all smaller than those of earlier batches."""
+        self.levels[0].append(self._write(self.against(entries)))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                old, self.levels[level] = self.levels[level], {}
-                self._add(level + 1, self._merged(list(old.values())))
-                for name in old:
-                    self.space.drop(name)
+                merged = reduce(self._merge, self.levels[level])
+                self.levels[level] = []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(merged)
 
     def condemned(self) -> DataFrame:
-        """(h, top) of lines seen in at least ``min_docs`` documents; top is the document that keeps them."""
-        return self._merged(self._all()).where(F.col("n") >= self.min_docs).select("h", "top")
+        """(h, n, top) of lines seen in at least ``min_docs`` documents; top is the document that keeps them."""
+        last = reduce(self._merge, [x for level in self.levels for x in level])
+        self.levels = [[last]]
+        return self.spark.table(last).where(F.col("n") >= self.min_docs)
+
+    def close(self) -> None:
+        for name in list(self.held):
+            self._drop(name)
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Drop lines that many documents share, except in the largest document holding them.
 
@@ -89,11 +115,15 @@ def drop_repeated_lines(
     ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines except in the largest id
     holding them. Returns the input columns with the text replaced, and n_lines (before dropping) and n_dropped (long).
 
+    The batches are ranges of ids with about as many rows each. A line that many documents hold costs each task one
+    partial row in the runs; where its documents are looked up, its hash is broadcast.
+
     Null or empty text: one empty line, kept. Rows with a null id are kept whole and lend no line to others. Rows that
     repeat an id count as one document, each is returned. Input columns named n_lines or n_dropped are replaced. Works
     on whole texts; memory is one Arrow batch, and the lines of one document. Empty input: no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     space = Workspace(spark, "lines")
     docs = docs.drop("n_lines", "n_dropped")
 
@@ -106,29 +136,28 @@ def drop_repeated_lines(
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "h"])
 
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     kept_schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    if low is None:
+    lines = space.write(known.where("text is not null").mapInArrow(extract, "doc_id long, h binary"), "lines")
+    total = lines.count()
+    if not total:
         hits = spark.createDataFrame([], "__id long, __hits array<binary>")
     else:
-        width = float(high - low) + 1.0
-        lines = (
-            docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .where("id is not null and text is not null")
-            .mapInArrow(extract, "doc_id long, h binary")
-            .withColumn("batch", F.least(F.lit(batches - 1), F.floor((F.lit(float(high)) - F.col("doc_id")) / F.lit(width) * batches)).cast("int"))
-        )
-        lines = space.write(lines, "lines", partition_by="batch")
+        repeated = not known.groupBy("id").count().where("count > 1").isEmpty()
+        seen = F.count_distinct("doc_id") if repeated else F.count("*")  # without repeated ids a task's partial counts add up
+        cuts = known.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+        bounds = [None, *sorted(set(cuts)), None]
         runs = LineRuns(space, min_docs, fanout)
-        for number in range(batches):
-            runs.absorb(lines.where(F.col("batch") == number).select("h", "doc_id"))
-        condemned = space.write(runs.condemned(), "condemned")
-        hits = (
-            lines.join(condemned, "h")
-            .where(F.col("doc_id") < F.col("top"))
-            .groupBy(F.col("doc_id").alias("__id"))
-            .agg(F.collect_set("h").alias("__hits"))
-        )
+        try:
+            for low, high in reversed(list(pairwise(bounds))):
+                batch = lines if low is None else lines.where(F.col("doc_id") > low)
+                batch = batch if high is None else batch.where(F.col("doc_id") <= high)
+                runs.absorb(batch.groupBy("h").agg(seen.alias("n"), F.max("doc_id").alias("top")))
+            condemned = space.write(runs.condemned(), "condemned")
+        finally:
+            runs.close()
+        met = join_by_key(lines, condemned, ["h"], "n", total).where(F.col("doc_id") < F.col("top"))
+        hits = met.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__hits"))
     names = docs.columns
     at = names.index(text_col)
 
@@ -151,7 +180,9 @@ def drop_repeated_lines(
             columns += [pa.array(counts, pa.int64()), pa.array(drops, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"])
 
-    joined = docs.join(hits, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    has_id = F.col(id_col).isNotNull()
+    joined = docs.where(has_id).join(hits, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    joined = joined.unionByName(docs.where(~has_id).withColumn("__hits", F.lit(None).cast("array<binary>")))  # these need no shuffle
     return joined.mapInArrow(rewrite, kept_schema)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from larder.llm.bpe import byte_symbols
-from larder.llm.common import Workspace, read
+from larder.llm.common import Workspace, bounded_batches, read
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
@@ -32,17 +32,33 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def same_by_rank(file: dict) -> tiktoken.Encoding | None:
+    """The vocabulary for the library that merges by token rank, in half the time; None unless the file says that the
+    results agree: PATTERN is how it splits, nothing else is done to a text, each merge makes a new token, and tokens
+    are numbered in the order of the merges, after the bytes."""
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    plain = file["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    plain &= model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    symbols, vocab = byte_symbols(), model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    left = len(vocab) - len(made)
+    special = {x["content"] for x in file.get("added_tokens", ())}
+    plain &= all(a < b for a, b in zip(made, made[1:], strict=False)) and all(vocab.get(s, left) < made[0] for s in symbols)
+    if not plain or left != len(symbols) + len(special.intersection(vocab)):
+        return None
+    byte_of = {s: b for b, s in enumerate(symbols)}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file. Words between single spaces and line ends are encoded once and remembered:
     the vocabulary's pattern never joins across such a gap, and the space goes to the word after it."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        byte_of = {s: b for b, s in enumerate(byte_symbols())}
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}
-        self.latin = tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.by_rank = same_by_rank(json.load(f))
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -52,12 +68,11 @@ class ByteBpe:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
-        # the same merges by another library, in half the time; beyond Latin, Unicode tables could differ
-        encode, known = self.latin.encode_ordinary, self.known
-        others = [w for w in words if not (w.isascii() or max(w) < "\u0250")]
-        known.update(zip(others, self._ids(others), strict=True))
+        # beyond Latin, the Unicode tables of the two libraries could differ
+        others = [w for w in words if self.by_rank is None or not (w.isascii() or max(w) < "\u0250")]
+        self.known.update(zip(others, self._ids(others), strict=True))
         for w in words.difference(others):
-            known[w] = array("I", encode(w)).tobytes()
+            self.known[w] = array("I", self.by_rank.encode_ordinary(w)).tobytes()
 
     @staticmethod
     def _words(t: str) -> list[str] | None:
@@ -185,6 +200,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     Null text counts as empty: one piece of one id. Rows with equal or null ids are documents of their own. ``keep``
     names further input columns to carry along. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "packing")
     spare = {c: f"__keep_{i}" for i, c in enumerate(keep)}
     schema = T.StructType([

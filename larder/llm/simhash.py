@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larder.llm.common import Workspace, read
+from larder.llm.common import Workspace, bounded_batches, join_by_key, read
 from larder.llm.components import connected_components
 
 BITS = 64
@@ -18,6 +18,8 @@ BITS = 64
 CHUNK = 1 << 15
 #: Fingerprints compared together: numpy's calls cost little against the words they work on.
 GATHERED = 1 << 16
+#: So many bucket sizes are broadcast at most (16 bytes each).
+KNOWN_BUCKETS = 1 << 20
 
 
 def _hashes(text: bytes, shingle: int) -> list[int]:
@@ -184,7 +186,7 @@ def segments(radius: int, n: int, bucket: int) -> tuple[int, int]:
     return radius + agree, agree
 
 
-def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, second: int | None = None) -> DataFrame:
+def link_fingerprints(reps: DataFrame, space: Workspace, radius: int, cell_rows: int, scheme: tuple[int, int] | None = None, second: int | None = None) -> DataFrame:
     """(src, dst) edges that connect every two fingerprints within the radius; reps: (fp long, rep long), fp distinct.
 
     With ``second`` rows carry another fingerprint (fp2 long), and only pairs count of which those differ in at most
@@ -194,9 +196,11 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
 
     The values of each choice of agreeing segments are buckets. A bucket above ``cell_rows`` is split by hash into
     parts, and every two parts meet in a cell of their own: no task holds more than two parts of a bucket at once and
-    no pair is missed.
+    no pair is missed. The bucket sizes are broadcast if the segments have at most KNOWN_BUCKETS values, whatever the
+    rows; else those of hot buckets are, and the others are joined by shuffle.
     """
-    parts, agree = scheme or segments(radius, reps.count(), 4 * cell_rows)
+    n_reps = reps.count()
+    parts, agree = scheme or segments(radius, n_reps, 4 * cell_rows)
     bounds = [BITS * i // parts for i in range(parts + 1)]
     masks = [sum((1 << bounds[i + 1]) - (1 << bounds[i]) for i in chosen) for chosen in combinations(range(parts), agree)]
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
@@ -204,7 +208,12 @@ def link_fingerprints(reps: DataFrame, radius: int, cell_rows: int, scheme: tupl
     carried = ["fp", "rep"] + ["fp2"] * (second is not None)
     rows = reps.select(*carried, F.explode(segment).alias("s")).select(*carried, "s.seg", "s.val")
     sizes = rows.groupBy("seg", "val").count().where("count > 1")
-    rows = rows.join(sizes, ["seg", "val"]).withColumn("g", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int"))
+    if sum(1 << m.bit_count() for m in masks) <= KNOWN_BUCKETS:
+        rows = rows.join(F.broadcast(sizes), ["seg", "val"])
+    else:
+        sizes = space.write(sizes.withColumn("n", F.col("count")), "sizes")
+        rows = join_by_key(rows, sizes, ["seg", "val"], "n", n_reps * len(masks))
+    rows = rows.withColumn("g", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int"))
     rows = rows.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     meets = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("g") - 1), F.array("a")))
     rows = rows.withColumn("b", F.explode(meets)).select(
@@ -273,6 +282,7 @@ def simhash_classes(
     comparison. Rows that repeat an id share a class if any link does. Rows with a null id get their fingerprint and a
     null component. Other columns are ignored. Empty input: no rows.
     """
+    bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "simhash")
     made = space.write(fingerprints(docs, shingle, id_col, text_col), "fps")
     known = made.where("doc_id is not null")
@@ -280,7 +290,7 @@ def simhash_classes(
     # an id on several rows ties their fingerprints together
     again = known.distinct().groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1")
     tied = known.join(again.select("doc_id"), "doc_id", "left_semi").join(reps, "fp").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    edges = link_fingerprints(reps, radius, cell_rows).unionByName(tied)
+    edges = link_fingerprints(reps, space, radius, cell_rows).unionByName(tied)
     classes = connected_components(edges, space, "classes")
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return made.join(named, "fp", "left").select(
@@ -349,6 +359,7 @@ def near_duplicate_classes(
     Null and wordless texts are equal to each other. Rows with a null id are left out; rows that repeat an id are one
     document, of which the smallest text counts. Other columns are ignored. Empty input: no rows.
     """
+    bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "near")
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = fingerprint_pairs(known, shingle, "doc_id", "text").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("least"))
@@ -356,7 +367,7 @@ def near_duplicate_classes(
     reps = space.write(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "reps")
 
     swapped = reps.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
-    met = [link_fingerprints(x, radius, cell_rows, scheme, second) for x in (reps, swapped)]
+    met = [link_fingerprints(x, space, radius, cell_rows, scheme, second) for x in (reps, swapped)]
     near = space.write(met[0].unionByName(met[1]).distinct(), "near")
     ends = near.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     sets = shingle_sets(known.join(ends, "doc_id", "left_semi"), shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
