@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,45 +10,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import read
+from larder.llm.bloom import filled
+from larder.llm.common import bounded_batches, read
 
-#: One block is eight 64-bit words, a cache line; a key sets one bit in each of them.
-WORDS = 8
 #: Lists of up to so many entries are broadcast (a few MB); longer ones are joined by shuffle, in so many salted parts.
 BROADCAST_LISTED, SALTS = 1 << 15, 32
 
 
-class BlockedBloom:
-    """Each key's bits lie in one block of 512 bits, so a lookup touches one cache line."""
-
-    def __init__(self, capacity: int, bits_per_key: int = 16):
-        self.blocks = np.zeros((max(1, -(-capacity * bits_per_key // 512)), WORDS), np.uint64)
-
-    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        block = mixed * np.uint64(len(self.blocks)) >> np.uint64(32)
-        shifts = np.uint64(6) * np.arange(WORDS, dtype=np.uint64)
-        return block.astype(np.int64), np.uint64(1) << ((hashes[:, None] >> shifts) & np.uint64(63))
-
-    def add(self, hashes: np.ndarray) -> None:
-        block, bits = self._place(hashes)
-        np.bitwise_or.at(self.blocks, block, bits)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        block, bits = self._place(hashes)
-        return ((self.blocks[block] & bits) == bits).all(axis=1)
+def _hashes(keys: Iterable[str]) -> np.ndarray:
+    """As Spark's xxhash64 of the text."""
+    return np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for k in keys], dtype=np.uint64)
 
 
-def _hashes(keys: Iterable[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], dtype=np.uint64)
+def suffixes(host: str, counts: list[int]) -> list[str]:
+    """The last labels of a host, for each of the (ascending) label counts that it reaches."""
+    out, at, have = [], len(host), 0
+    for n in counts:
+        while have < n and at >= 0:
+            at = host.rfind(".", 0, at)
+            have += 1
+        if have < n:
+            break
+        out.append(host[at + 1 :])
+    return out
 
 
-def expressions(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every listed entry that could fit: host suffixes by label, times path prefixes of the listed lengths."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    prefixes = [path[:n] for n in lengths if n <= len(path)]
-    return [h + "\x00" + p for h in hosts for p in prefixes]
+def prefixes(path: str, lengths: list[int]) -> list[str]:
+    return [path[:n] for n in lengths if n <= len(path)]
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -63,43 +50,44 @@ def split_url(url: str) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), tail[:stop]
 
 
-def judge_urls(
-    pages: DataFrame, listed: DataFrame, default: str = "allow", max_listed: int = 1 << 24, id_col: str = "page_id", url_col: str = "url"
-) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row.
 
     ``listed``: (host, path, verdict) of canonical URL prefixes. An entry fits its host and all subdomains if the URL's
     path starts with its own; the longest host and path wins, between equal texts block does. URLs that no entry fits
     get ``default`` and a null rule.
 
-    Each URL is expanded to the entries that could fit it. A blocked Bloom filter over the listed entries drops nearly
-    all of these; possible hits go to an exact hash join with the list, which removes false positives. The filter
-    takes two bytes an entry and is broadcast; ``max_listed`` bounds it to 32 MB, above it the filter is left out and
-    the join alone decides, with the same results.
+    Each host is cut to the label counts that the list has, so a host of any length costs as many lookups as there are
+    such counts. A blocked Bloom filter of the listed hosts and entries drops nearly all of these; where a host may be
+    listed, its paths are looked up too. Possible hits go to an exact hash join with the list, which removes false
+    positives. The filter is filled on the executors and broadcast; it never takes more than 32 MB (longer lists let
+    more false hits through to the join, with the same results).
 
     Null url or url without ``://``: host and path empty, no rule. Rows that repeat an id are each returned; a null id
     is kept. Other columns are ignored. An empty list or table is fine.
     """
+    spark = pages.sparkSession
+    bounded_batches(spark)
     listed = listed.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null")
-    lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # as many as path lengths exist
+    # as many values as different label counts and path lengths exist
+    counts = sorted(r[0] for r in listed.select(F.size(F.split("host", r"\.", -1))).distinct().collect())
+    lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
     size = listed.count()
-    bloom = None
-    if size <= max_listed:
-        filled = BlockedBloom(size)
-        rows = listed.select("host", "path").toLocalIterator()
-        while some := [r[0] + "\x00" + r[1] for r in islice(rows, 4096)]:
-            filled.add(_hashes(some))
-        bloom = pages.sparkSession.sparkContext.broadcast(filled)
+    key = F.concat("host", F.lit("\x00"), "path")
+    bloom = spark.sparkContext.broadcast(filled(listed.select(F.explode(F.array(F.xxhash64("host"), F.xxhash64(key)))), 2 * size))
 
     def expand(stream):
         for batch in stream:
             ids, urls = batch.column(id_col), batch.column(url_col).to_pylist()
             split = [split_url(u or "") for u in urls]
-            keys = [expressions(h, p, lengths) if h else [] for h, p in split]
-            if bloom is not None:
-                flat = [k for ks in keys for k in ks]
-                held = iter(bloom.value.holds(_hashes(flat)).tolist() if flat else [])
-                keys = [[k for k in ks if next(held)] for ks in keys]
+            held = bloom.value.holds
+            hosts = [(i, h) for i, (host, _) in enumerate(split) if host for h in suffixes(host, counts)]
+            listed_hosts = [x for x, ok in zip(hosts, held(_hashes(h for _, h in hosts)), strict=True) if ok]
+            tried = [(i, h + "\x00" + p) for i, h in listed_hosts for p in prefixes(split[i][1], lengths)]
+            keys: list[list[str]] = [[] for _ in split]
+            for (i, k), ok in zip(tried, held(_hashes(k for _, k in tried)), strict=True):
+                if ok:
+                    keys[i].append(k)
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(keys, pa.list_(pa.string()))],
                 [id_col, "host", "path", "keys"],
@@ -108,7 +96,7 @@ def judge_urls(
     judged = pages.select(F.col(id_col).cast("long").alias(id_col), url_col).mapInArrow(expand, f"{id_col} long, host string, path string, keys array<string>")
     possible = judged.withColumn("row", F.monotonically_increasing_id()).select("row", id_col, "host", "path", F.explode_outer("keys").alias("key"))
     possible = possible.withColumn("key", F.coalesce("key", F.concat(F.lit("\x01"), F.col("row").cast("string"))))  # spread, never listed
-    entries = listed.groupBy(F.concat("host", F.lit("\x00"), "path").alias("key")).agg(
+    entries = listed.groupBy(key.alias("key")).agg(
         F.max(F.struct(F.concat("host", "path").alias("rule"), F.col("verdict"))).alias("entry")
     )
     if size <= BROADCAST_LISTED:

@@ -1,12 +1,13 @@
 """Vectors, pages, language ID and the pipeline."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import embed_dedup, html_blocks, langid, topk, train_blocks, url_filter
+from larder.llm import bloom, embed_dedup, html_blocks, langid, topk, train_blocks, url_filter
 
 from .helpers import SF, docs, oracle, same, words
 
@@ -105,12 +106,32 @@ def test_url_odd(spark, monkeypatch, broadcast):
     assert {r.verdict for r in url_filter.judge_urls(df, listed.limit(0), default="none").collect()} == {"none"}
 
 
-def test_bloom_has_no_false_negatives():
+def test_url_very_long_host(spark):
+    host = ".".join("abcdefghij"[i % 10] for i in range(100_000))
+    urls = [f"http://{host}.example.com/de/x", f"http://{host}/", f"http://{host}.net/"]
+    start = time.perf_counter()
+    parts = [url_filter.split_url(u) for u in urls]
+    assert [url_filter.suffixes(h, [1, 2])[-1] for h, _ in parts] == ["example.com", "i.j", "j.net"] and time.perf_counter() - start < 1
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([*url_filter.RULES, (host, "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, listed).collect()}
+    assert got == {0: ("example.com/de/", "block"), 1: (host + "/", "block"), 2: ("net/", "block")}
+
+
+def test_bloom_has_no_false_negatives(spark, monkeypatch):
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    b = url_filter.BlockedBloom(5000)
+    b = bloom.BlockedBloom(5000)
     b.add(keys)
     assert b.holds(keys).all() and b.holds(rng.integers(0, 2**64, 20_000, dtype=np.uint64)).mean() < 0.02
+    monkeypatch.setattr(bloom, "SEGMENT", 16)
+    table = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long")
+    assert (bloom.filled(table, 5000).blocks == b.blocks).all()
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", 4)  # far too small: nothing is lost
+    b = bloom.BlockedBloom(5000)
+    b.add(keys)
+    assert len(b.blocks) == 4 and b.holds(keys).all()
+    assert not bloom.filled(table.limit(0), 0).blocks.any()
 
 
 def test_html_pages_of_the_tables(spark):
