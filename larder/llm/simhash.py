@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from larder.llm.bloom import BlockedBloom, filled
 from larder.llm.common import Workspace, bounded_batches, join_by_key, read
 from larder.llm.components import connected_components
 
@@ -190,8 +191,9 @@ def link_fingerprints(reps: DataFrame, space: Workspace, radius: int, cell_rows:
     """(src, dst) edges that connect every two fingerprints within the radius; reps: (fp long, rep long), fp distinct.
 
     With ``second`` rows carry another fingerprint (fp2 long), and only pairs count of which those differ in at most
-    ``second`` bits. Each row then has an edge to its closest row of smaller rep, for each cell it is in, and rows that are so met
-    have one to themselves: all rows of any pair are in the result.
+    ``second`` bits. Each row then has an edge to its closest row of smaller rep, for each cell it is in, with the bits
+    they are apart in both (apart long); rows that are so met have one to themselves: all rows of any pair are in the
+    result.
     ``scheme`` sets (segments, agreeing): with fewer than radius + agreeing segments some pairs never meet.
 
     The values of each choice of agreeing segments are buckets. A bucket above ``cell_rows`` is split by hash into
@@ -220,8 +222,8 @@ def link_fingerprints(reps: DataFrame, space: Workspace, radius: int, cell_rows:
         *carried, F.xxhash64("seg", "val", F.least("a", "b"), F.greatest("a", "b")).alias("cell")
     )
 
-    def edges(src, dst):
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+    def edges(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["src", "dst", "apart"][: len(columns)])
 
     def folded(cell, fp, rep):
         at = np.arange(len(fp))
@@ -240,7 +242,7 @@ def link_fingerprints(reps: DataFrame, space: Workspace, radius: int, cell_rows:
             closer = near & (apart < best[right])
             best[right[closer]], at[right[closer]] = apart[closer], left[closer]
         moved = np.flatnonzero(met | (best <= 2 * BITS))
-        yield edges(rep[moved], rep[at[moved]])
+        yield edges(rep[moved], rep[at[moved]], best[moved])
 
     compare_cells = folded if second is None else closest
 
@@ -268,7 +270,7 @@ def link_fingerprints(reps: DataFrame, space: Workspace, radius: int, cell_rows:
         if n > 1:
             yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "src long, dst long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "src long, dst long" + (second is not None) * ", apart long")
 
 
 def simhash_classes(
@@ -300,16 +302,19 @@ def simhash_classes(
     )
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shingles array<long>): the distinct shingle hashes of every row."""
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str, among: BlockedBloom) -> DataFrame:
+    """(doc_id, shingles array<long>): the distinct shingle hashes of the rows whose id's hash the filter holds. Texts
+    are not shuffled: the others are passed over where they are read."""
+    held = docs.sparkSession.sparkContext.broadcast(among)
 
     def make(stream):
         for batch in stream:
+            batch = batch.filter(pa.array(held.value.holds(batch.column("h").to_numpy().view(np.uint64))))
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
             sets = [np.unique(np.array(_hashes(t or b"", shingle), dtype=np.uint64)).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(make, "doc_id long, shingles array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(id_col).alias("h")).mapInArrow(make, "doc_id long, shingles array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -320,23 +325,44 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
 
 
-def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+def mostly_in(sets: DataFrame, among: BlockedBloom, share: float) -> DataFrame:
+    """The sets (doc_id, component, shingles) of which at least ``share`` may be in the filter."""
+    held = sets.sparkSession.sparkContext.broadcast(among)
+
+    def pick(stream):
+        for batch in stream:
+            column = batch.column("shingles")
+            sizes = np.diff(column.offsets.to_numpy())
+            hits = held.value.holds(column.flatten().to_numpy().view(np.uint64))
+            found = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=hits, minlength=len(sizes))
+            yield batch.filter(pa.array(found + 1e-9 >= share * sizes))
+
+    return sets.select("doc_id", "component", "shingles").mapInArrow(pick, "doc_id long, component long, shingles array<long>")
+
+
+def prefix_pairs(sets: DataFrame, similarity: float, space: Workspace) -> DataFrame:
     """(src, dst) of different components that may overlap by ``similarity``; sets: (doc_id, component, shingles).
 
-    Each set is ordered by the number of sets that hold a shingle. Sets alike by s share one of their first
+    Only shingles of several components can join any. Sets need them for ``similarity`` of their own size; a filter of
+    these shingles passes over most others where they lie. Each remaining set is ordered: first the shingles that only
+    its component has, then the others by the number of sets that hold them. Sets alike by s share one of their first
     n - ceil(s * n) + 1 shingles, and behind their first shared one must be enough for the overlap they need. So near
     copies that differ too much, each by words of its own, make no pair. No pair alike by ``similarity`` is missed.
     """
     near_zero = 1e-9
-    held = sets.select("doc_id", "component", F.explode("shingles").alias("shingle"))
-    often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    ranked = held.join(often, "shingle").groupBy("doc_id", "component").agg(
-        F.array_sort(F.collect_list(F.struct("often", "shingle", (F.col("low") < F.col("high")).alias("mixed")))).alias("ranked")
-    )
-    n = F.size("ranked")
-    ranked = ranked.select("doc_id", "component", n.alias("n"), F.slice("ranked", 1, (n - F.ceil(n * similarity - near_zero) + 1).cast("int")).alias("prefix"))
-    first = ranked.select("doc_id", "component", "n", F.posexplode("prefix").alias("at", "held")).where("held.mixed")
-    first = first.select("doc_id", "component", "n", (F.col("n") - F.col("at")).alias("left"), F.col("held.shingle").alias("shingle"))
+    often = sets.select("component", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    often = often.agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = space.write(often.where("low < high").select("shingle", "often", F.col("often").alias("n")), "mixed")
+    some = space.write(mostly_in(sets, filled(mixed.select("shingle"), mixed.count()), similarity), "some")
+    held = some.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    total = held.count()
+    met = join_by_key(held.withColumnRenamed("n", "size"), mixed, ["shingle"], "n", total)
+    ranked = met.groupBy("doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+    own = F.col("size") - F.size("ranked")
+    length = F.col("size") - F.ceil(F.col("size") * similarity - near_zero) + 1 - own
+    ranked = ranked.where(length > 0).select("doc_id", "component", F.col("size").alias("n"), own.alias("own"), F.slice("ranked", 1, length.cast("int")).alias("prefix"))
+    first = ranked.select("doc_id", "component", "n", "own", F.posexplode("prefix").alias("at", "held"))
+    first = first.select("doc_id", "component", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"), F.col("held.shingle").alias("shingle"))
     one, two = first.alias("one"), first.alias("two")
     enough = F.least("one.left", "two.left") * (1 + similarity) + near_zero >= (F.col("one.n") + F.col("two.n")) * similarity
     meet = (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.doc_id") < F.col("two.doc_id")) & (F.col("one.component") != F.col("two.component"))
@@ -350,8 +376,8 @@ def near_duplicate_classes(
 
     Two SimHash fingerprints are taken of the distinct shingles. Rows of which either agrees in ``scheme`` segments meet
     in a cell, where the bit-sliced comparison finds those within ``radius`` bits, and ``second`` bits of the other
-    fingerprint. First each row has its nearest of smaller id in each cell verified by whole shingle sets, which
-    joins most of a group at a cost linear in its size. Then all rows that met any are compared across classes by an
+    fingerprint. First each row has its nearest of smaller id verified by whole shingle sets, which joins most of a
+    group at a cost linear in its size. Then all rows that met any are compared across classes by an
     exact join on their rarest shingles and verified, so no partner is left out. Texts with both fingerprints equal
     count as equal. A link is missed only where neither fingerprint brings one of its texts near to any other
     (measured recall in the README).
@@ -368,10 +394,12 @@ def near_duplicate_classes(
 
     swapped = reps.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
     met = [link_fingerprints(x, space, radius, cell_rows, scheme, second) for x in (reps, swapped)]
-    near = space.write(met[0].unionByName(met[1]).distinct(), "near")
-    ends = near.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = shingle_sets(known.join(ends, "doc_id", "left_semi"), shingle, "doc_id", "text").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-    sets = space.write(sets, "sets")
+    # the nearest of smaller id; a row that is only met by others keeps the edge to itself
+    closest = F.min(F.struct((F.col("src") == F.col("dst")).alias("self"), "apart", "dst")).alias("to")
+    near = space.write(met[0].unionByName(met[1]).groupBy("src").agg(closest).select("src", "to.dst"), "near")
+    ends = near.select(F.col("src").alias("doc_id"))
+    sets = shingle_sets(known, shingle, "doc_id", "text", filled(ends.select(F.xxhash64("doc_id")), near.count()))
+    sets = space.write(sets.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
 
     def classed(links: DataFrame, label: str) -> DataFrame:
         classes = connected_components(links, space, label)
@@ -379,7 +407,8 @@ def near_duplicate_classes(
 
     links = space.write(_similar(near.where("src != dst"), sets, similarity), "links")
     firsts = classed(links, "first").select(F.col("rep").alias("doc_id"), "component")
-    rest = space.write(prefix_pairs(sets.join(firsts, "doc_id"), similarity), "rest")
+    placed = space.write(sets.join(firsts, "doc_id"), "placed")
+    rest = space.write(prefix_pairs(placed, similarity, space), "rest")
     links = links.unionByName(_similar(rest, sets, similarity))
     named = classed(links, "classes").select("fp", "fp2", F.col("component").alias("component_id"))
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "component_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larder.llm import bpe, license_scan, line_dedup, packing, simhash
+from larder.llm.common import Workspace, join_by_key
 
 from .helpers import SF, docs, oracle, same, words
 
@@ -44,6 +45,32 @@ def test_line_dedup_names_and_empty(spark):
     assert line_dedup.drop_repeated_lines(docs(spark, []).limit(0)).count() == 0
 
 
+def test_line_runs_are_neither_shuffled_nor_sorted_again(spark):
+    space = Workspace(spark, "runs")
+    runs = line_dedup.LineRuns(space, 3)
+    entries = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("h"), (F.col("id") % 5).alias("n"), F.col("id").alias("top"))
+    entries = entries.groupBy("h").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    runs.absorb(entries)
+    spark.conf.set(runs.ORDERED, "true")
+    try:
+        plan = runs.against(entries)._jdf.queryExecution().executedPlan().toString()
+        # both belong to the batch
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set(runs.ORDERED, "false")
+    assert runs.against(entries).count() == entries.where("n < 3").count()
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("larder_run")]
+
+
+def test_join_by_key(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else (None if i % 2 else i), i) for i in range(5000)], "k long, v long")
+    table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("w"))
+    for how in ("inner", "left"):
+        got = sorted(map(repr, join_by_key(rows, table, ["k"], "n", 200_000, how).collect()))
+        assert got == sorted(map(repr, rows.join(table.drop("n"), ["k"], how).collect()))
+
+
 def brute_simhash(text, shingle):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x20\x09-\x0d]+", text)
@@ -331,9 +358,9 @@ def test_prefix_pairs_miss_none(spark):
     sets[99] = []
     rows = [(i, i % 3, s) for i, s in sets.items()]
     df = spark.createDataFrame(rows, "doc_id long, component long, shingles array<long>")
-    got = {(r.src, r.dst) for r in simhash.prefix_pairs(df, 0.8).collect()}
+    got = {(r.src, r.dst) for r in simhash.prefix_pairs(df, 0.8, Workspace(spark, "a")).collect()}
     both = [(a, b, set(sets[a]), set(sets[b])) for a in sets for b in sets if a < b and a % 3 != b % 3]
     want = {(a, b) for a, b, x, y in both if x and y and 5 * len(x & y) >= 4 * len(x | y)}
     assert want and want <= got
     assert all(a % 3 != b % 3 for a, b in got)
-    assert simhash.prefix_pairs(df.limit(0), 0.8).count() == 0
+    assert simhash.prefix_pairs(df.limit(0), 0.8, Workspace(spark, "b")).count() == 0
