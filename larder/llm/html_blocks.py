@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from importlib import resources
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import read
+from larder.llm.common import bounded_batches, read
 
 PATH_BINS, WORD_BINS = 96, 32
 NUMBERS = 10
@@ -22,9 +23,14 @@ INPUTS = PATH_BINS + WORD_BINS + NUMBERS
 #: Padded block steps that run through the network together.
 STEPS = 1 << 15
 
-#: Elements whose content is never text of the page.
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|iframe|svg|textarea|select|title|object)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)/?>")
+#: Elements whose content is no text of the page: the first end with it, whatever is inside; the others only count if
+#: they are closed.
+RAW = frozenset("script style textarea title".split())
+DROPPED = frozenset("template noscript iframe svg select object".split())
+#: A tag, with its attributes; nothing in it is tried twice.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in RAW | DROPPED}
 MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements inside a line of text; all others begin and end a block. br and wbr stand for white space.
@@ -37,73 +43,181 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HOLDS = frozenset("ul ol dl table body article main section div nav aside header footer form blockquote".split())
 
 
+class Place:
+    """An open element within those around it; inline elements are passed over. It carries what the path's features add
+    up to, so a block costs the same at any depth."""
+
+    __slots__ = ("around", "name", "marks", "sum", "_row")
+
+    def __init__(self, around: Place | None, name: str, marks: tuple[str, ...]):
+        self.around, self.name, self.marks = around, name, marks
+        self.sum = _hashed({name, *marks}) * np.float32(0.7)
+        if around:
+            self.sum += around.sum
+        self._row: np.ndarray | None = None
+
+    def __iter__(self) -> Iterator[tuple[str, tuple[str, ...]]]:
+        place: Place | None = self
+        while place:
+            yield place.name, place.marks
+            place = place.around
+
+    def row(self) -> np.ndarray:
+        """Hashed names and marks of the path; the two innermost elements count more, and by their position."""
+        if self._row is None:
+            row, place = np.zeros(PATH_BINS, np.float32), self
+            for depth in range(2):
+                if place:
+                    row += _hashed({place.name, *place.marks, f"{depth}:{place.name}"})
+                    place = place.around
+            self._row = np.clip(row + place.sum if place else row, -2, 2)
+        return self._row
+
+
+def _hashed(tokens: set[str]) -> np.ndarray:
+    row = np.zeros(PATH_BINS, np.float32)
+    for token in tokens:
+        at, sign = _bin("p" + token, PATH_BINS)
+        row[at] += sign
+    return row
+
+
 @dataclass
 class Block:
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    path: Place | None
     linked: int
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, element, closes, attributes) of each tag in page order; the last has no element.
+
+    Comments, declarations and the content of RAW and DROPPED elements are left out; a comment or RAW element that is
+    never closed takes the rest of the page, any other element nothing. A tag ends at the first ``>`` outside quotes. If
+    a tag has none, quotes end no more tags: from there on each tag ends at its first ``>``, and without one before the
+    next ``<``. Each position is looked at a bounded number of times: no page takes more than linear time.
+    """
+    at = start = 0  # text from ``at`` is not yet given out; ``start``: where the next < is looked for
+    quotes = True
+    never: set[str] = set()  # what is closed nowhere in the rest
+    while (i := page.find("<", start)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            yield page[at:i] + " ", "", False, ""
+            at = start = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), i):
+            end = page.find(">", i) if ">" not in never else -1
+            if end < 0:
+                never.add(">")
+                start = i + 1
+                continue
+            yield page[at:i] + " ", "", False, ""
+            at = start = end + 1
+            continue
+        m = NAME.match(page, i)
+        if not m:
+            start = i + 1
+            continue
+        whole = TAG.match(page, i) if quotes else None
+        if whole:
+            end, marks = whole.end(), whole[3]
+        else:
+            close = page.find(">", m.end()) if ">" not in never else -1
+            follow = page.find("<", m.end())
+            if close < 0:
+                never.add(">")
+            elif quotes and follow >= 0 and follow < close:
+                close = -1  # a tag that another one interrupts
+            else:
+                quotes = quotes and '"' not in page[m.end() : close] and "'" not in page[m.end() : close]
+            end = close + 1 if close >= 0 else follow if follow >= 0 else len(page)
+            marks = page[m.end() : end]
+        name = m[2].lower()
+        if not m[1] and (name in RAW or name in DROPPED) and name not in never:
+            closed = ENDS[name].search(page, end)
+            if closed or name in RAW:
+                yield page[at:i] + " ", "", False, ""
+                at = start = closed.end() if closed else len(page)
+                continue
+            never.add(name)
+        yield page[at:i], name, bool(m[1]), marks
+        at = start = end
+    yield page[at:], "", False, ""
+
+
+class OpenElements:
+    """The stack of open elements, with the positions of each name, so that no look-up depends on its depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Place | None]] = []
+        self.at: dict[str, list[int]] = {}
+        self.holds: list[int] = []
+
+    def place(self) -> Place | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def open(self, name: str, marks: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in HOLDS:
+            self.holds.append(len(self.stack))
+        self.stack.append((name, self.place() if name in INLINE else Place(self.place(), name, marks)))
+
+    def close(self, i: int) -> None:
+        for name, _ in self.stack[i:]:
+            self.at[name].pop()
+            if name in HOLDS:
+                self.holds.pop()
+        del self.stack[i:]
+
+    def last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def make_room(self, name: str) -> None:
+        """Close what an element of this name ends, up to the container."""
+        while (i := self.last("p", *CLOSES.get(name, ()))) > (self.holds[-1] if self.holds else -1):
+            self.close(i)
+            if name != "tr":
+                break
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf text blocks in page order; character references decoded, white space runs one space, ends trimmed."""
-    page = DROPPED.sub(" ", page)
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements = OpenElements()
     out: list[Block] = []
     held: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, [x for x in stack if x[0] not in INLINE], min(linked, len(text))))
+                out.append(Block(text, elements.place(), min(linked, len(text))))
             held.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[i:])
-        del stack[i:]
-
-    at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            raw = page[at : m.start()]
+    for raw, name, closes, attributes in pieces(page):
+        if raw:
             held.append(raw)
-            if links:
+            if elements.at.get("a"):
                 linked += len(raw.strip())
-        at = m.end()
-        name = m[2].lower()
+        if not name:
+            continue
         inline = name in INLINE
         if not inline:
             flush()
         if name in VOID:
             if name in ("br", "wbr"):
                 held.append(" ")
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-            continue
-        if not inline:
-            ended = CLOSES.get(name, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in ended:
-                    close(i)
-                    if name not in ("tr",):
-                        break
-                elif stack[i][0] in HOLDS:
-                    break
+        elif closes:
+            if (i := elements.last(name)) >= 0:
+                elements.close(i)
         else:
-            links += name == "a"
-        words = MARKS.findall(m[3]) if m[3] else ()
-        marks = tuple(p.lower() for w in words for p in PIECES.findall(w[0] or w[1] or w[2]))
-        stack.append((name, marks))
-    if at < len(page):
-        held.append(page[at:])
+            if not inline:
+                elements.make_room(name)
+            words = MARKS.findall(attributes) if attributes and not inline else ()
+            elements.open(name, tuple(p.lower() for w in words for p in PIECES.findall(w[0] or w[1] or w[2])))
     flush()
     return out
 
@@ -115,30 +229,22 @@ def _bin(text: str, bins: int) -> tuple[int, float]:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """A row a block: hashed tag path with its class and id words, hashed words, and counts."""
+    """A row a block: hashed tag path with its class and id words, all its hashed words, and counts."""
     x = np.zeros((len(blocks), INPUTS), np.float32)
-    paths: dict[tuple, np.ndarray] = {}
+    words = [b.text.lower().encode("utf-8", "replace").split() for b in blocks]
+    sizes = np.array([len(w) for w in words])
+    first = crc32(b"w")
+    hashes = np.array([crc32(w, first) for ws in words for w in ws], np.uint32)
+    cells = np.repeat(np.arange(len(blocks)) * WORD_BINS, sizes) + hashes % WORD_BINS
+    signed = np.bincount(cells, np.where(hashes >> 31, 1.0, -1.0), len(blocks) * WORD_BINS).reshape(-1, WORD_BINS)
+    x[:, PATH_BINS : PATH_BINS + WORD_BINS] = signed / np.sqrt(np.maximum(sizes, 1))[:, None] / 2
     for i, b in enumerate(blocks):
-        key = tuple(b.path)
-        if key not in paths:
-            row = np.zeros(PATH_BINS, np.float32)
-            for depth, (name, marks) in enumerate(reversed(b.path)):
-                weight = 1.0 if depth < 2 else 0.7
-                for token in {name, *marks, f"{depth}:{name}" if depth < 2 else name}:
-                    at, sign = _bin("p" + token, PATH_BINS)
-                    row[at] += sign * weight
-            paths[key] = np.clip(row, -2, 2)
-        x[i, :PATH_BINS] = paths[key]
-        words = b.text.split()
-        first = [w.lower() for w in words[:64]]
-        for w in first:
-            at, sign = _bin("w" + w, WORD_BINS)
-            x[i, PATH_BINS + at] += sign
-        x[i, PATH_BINS : PATH_BINS + WORD_BINS] /= max(1.0, len(first)) ** 0.5 * 2
+        if b.path:
+            x[i, :PATH_BINS] = b.path.row()
         n = len(b.text)
         x[i, PATH_BINS + WORD_BINS :] = (
-            min(np.log1p(n) / 6, 2), min(np.log1p(len(words)) / 4, 2), b.linked / n, b.text[-1] in ".!?…\"'”»", sum(c in ".,;:!?" for c in b.text[:400]) / min(n, 400) * 10,
-            i / len(blocks), min(i, 20) / 20, min(len(blocks) - 1 - i, 20) / 20, b.text[0].isupper(), b.path[-1][0] in ("h1", "h2", "h3") if b.path else 0,
+            min(np.log1p(n) / 6, 2), min(np.log1p(sizes[i]) / 4, 2), b.linked / n, b.text[-1] in ".!?…\"'”»", sum(map(b.text.count, ".,;:!?")) / n * 10,
+            i / len(blocks), min(i, 20) / 20, min(len(blocks) - 1 - i, 20) / 20, b.text[0].isupper(), b.path.name in ("h1", "h2", "h3") if b.path else 0,
         )
     return x
 
@@ -250,11 +356,13 @@ def main_text(pages: DataFrame, model: BiLstm | None = None, id_col: str = "page
 
     Each page is cut into leaf blocks and a bidirectional LSTM labels every block from its tag path, its words and the
     blocks around it. Blocks of main text are joined by one \\n in page order. Scripts, styles, comments and form
-    controls are no blocks. Whole pages, no shuffle; the weights travel with the task.
+    controls are no blocks. Whole pages in linear time, no shuffle; the weights travel with the task.
 
     Null or empty html, and pages without main text: empty text, 0. Rows may repeat, ids may be null; input columns of
-    these names are replaced. Unclosed or misnested tags are fine. An empty table gives no rows.
+    these names are replaced. Unclosed or misnested tags are fine: text after an element that is never closed is kept,
+    but for script, style, textarea, title and comments. An empty table gives no rows.
     """
+    bounded_batches(pages.sparkSession)
     weights = (model or trained()).w
     given = pages.drop("text", "n_chars", "n_blocks")
     names = given.columns

@@ -2,6 +2,7 @@
 
 import random
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -134,10 +135,70 @@ def test_bloom_has_no_false_negatives(spark, monkeypatch):
     assert not bloom.filled(table.limit(0), 0).blocks.any()
 
 
+class ArticleReader(HTMLParser):
+    """Blocks inside article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.silent, self.held, self.out = 0, 0, [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text and self.depth:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "wbr"):
+            self.held.append(" ")
+        elif tag not in html_blocks.INLINE:
+            self.end_block()
+        self.depth += tag == "article"
+        self.silent += tag in ("script", "style", "textarea", "title", "select", "svg")
+
+    def handle_endtag(self, tag):
+        if tag not in html_blocks.INLINE:
+            self.end_block()
+        self.depth -= tag == "article" and self.depth > 0
+        self.silent -= tag in ("script", "style", "textarea", "title", "select", "svg") and self.silent > 0
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.held.append(data)
+
+
 def test_html_pages_of_the_tables(spark):
     for r in html_blocks.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect():
-        want = [b.text for b in html_blocks.leaf_blocks(r.html) if any(name == "article" for name, _ in b.path)]
-        assert r.text == "\n".join(want) and r.n_chars == len(r.text)
+        reader = ArticleReader()
+        reader.feed(r.html)
+        reader.close()
+        assert r.text == "\n".join(reader.out) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("page,texts", [
+    ("<p>one<svg><p>two", ["one", "two"]), ("<p>one<select><option>x<p>three", ["one", "x", "three"]), ("<p>one<object><template><p>two<noscript>", ["one", "two"]),
+    ("<p>one<select><option>x</select>", ["one"]), ("<p>a<b title='>'>x</b> y", ["ax y"]), ('<p>one <a href="x <p>two <p>three', ["one", "two", "three"]), ("<p>one<textarea>two", ["one"]),
+    ("<p>one<!-- two", ["one"]), ("a < b > c &amp; d", ["a < b > c & d"]), ("<p>one<!doctype", ["one<!doctype"]), ("<p", []), ("</p></div>x", ["x"]),
+])
+def test_html_unclosed(page, texts):
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == texts
+
+
+def test_html_takes_linear_time():
+    pages = ["<p>one<a " + 'x="y" ' * 100_000, "<p>one<a " + '"' * 100_001, "<p>one " + '<a "x ' * 100_001, "<p>one " + "<a '\" x" * 100_000, '<a href="x>y ' * 100_001, "<p>one<svg>" * 30_000]
+    pages += ["<" * 300_000, "<!x " * 100_000, "</p " * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<svg>" * 50_000 + "<p>x" * 50_000, "<span>" * 50_000 + "<li>x" * 50_000]
+    for page in pages:
+        start = time.perf_counter()
+        blocks = html_blocks.leaf_blocks(page)
+        if blocks:
+            html_blocks.features(blocks)
+        assert time.perf_counter() - start < 8, page[:40]
+
+
+def test_html_features_read_whole_blocks():
+    one, two = (html_blocks.features(html_blocks.leaf_blocks(f"<p>{'word ' * 500}{end}")) for end in ("alpha", "omega"))
+    at = slice(html_blocks.PATH_BINS, html_blocks.PATH_BINS + html_blocks.WORD_BINS)
+    assert (one[0, at] != two[0, at]).any()
 
 
 def test_html_held_out_accuracy():
