@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Workspace, keyed_vectors, read
+from larder.llm.common import Workspace, bounded_batches, join_by_key, keyed_vectors, read
 from larder.llm.components import connected_components
 from larder.llm.simhash import fold_pairs
 
 #: Steps of the quantised projections per unit.
 GRAIN = 2048
-#: Rows of a block; a cell holds two.
+#: Rows of a block, on average; a cell holds two, and their places fit 16 bits.
 BLOCK_ROWS = 2048
 #: Rows of a cell counted against all others at once, and pairs verified at once.
 STRIP, VERIFIED = 256, 1 << 15
@@ -42,103 +42,127 @@ def near_classes(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector: links at cosine >= ``threshold`` in double precision.
 
-    Unit vectors are projected on random directions. The first direction sorts the vectors: two at the threshold's
-    distance d are more than 3.3 d apart there with a chance under 0.001, so a vector meets only those in a window
-    around it. For each pair met the collisions in its windows (1.4 d) on the other directions are counted; pairs with
-    the count that pairs at the threshold reach with a chance of ``recall`` are verified by their cosine. Closer pairs
-    are found more surely, none is reported below the threshold.
+    Equal vectors are one, with a weight. Unit vectors are projected on random directions, each of which sorts them. Two
+    at the threshold's distance d are more than 3.3 d apart on one of them with a chance under 0.001: the first cuts
+    the vectors into slices, so that a vector meets only slices in that reach, and inside a cell the second leaves it a
+    window of the others. Around each vector's value on every further direction lies a window of 1.4 d in the sorted
+    order, and for each pair left the windows that hold it are counted. Pairs with the count that pairs at the threshold
+    reach with a chance of ``recall`` are verified by their cosine. Closer pairs are found more surely, none is reported
+    below the threshold. Vectors only meet others of their number of components.
 
-    The sorted order is cut into slices, slices of many rows by hash into blocks, and each two blocks in reach meet in
-    one cell; a cell returns links per row and the roots of its classes, never its pairs.
+    Slices of many rows are dealt by hash into blocks, and each two blocks in reach meet in one cell; a cell returns
+    links per row and the roots of its classes, never its pairs.
 
-    One row per id; null ids are dropped. Vectors that are null, empty, zero or hold null or non-finite components, and
-    vectors of other lengths than most, link with nothing. Of rows that repeat an id the smallest vector counts. Other
-    columns are ignored; an empty table gives no rows.
+    One row per id; null ids are dropped. Vectors that are null, empty, zero or hold null or non-finite components link
+    with nothing. Of rows that repeat an id the smallest vector counts. Other columns are ignored; an empty table gives
+    no rows.
     """
+    bounded_batches(vectors.sparkSession)
     space = Workspace(vectors.sparkSession, "near")
     distance = sqrt(max(0.0, 2 - 2 * threshold))
     window, reach = 1.4 * distance, 3.3 * distance
     least = calibrate(distance, window, projections, recall)
     everyone = vectors.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     usable = space.write(keyed_vectors(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0)), "vectors")
-    widths = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if widths is None:
-        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    d = widths[0]
-    directions = np.random.default_rng(seed).standard_normal((d, projections + 1))
+    total = usable.count()
+    # copies: the smallest id stands for all
+    alike = space.write(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "alike")
+    members = space.write(join_by_key(usable, alike.select("vec", "rep", "n"), ["vec"], "n", total).select("vec_id", "rep"), "members")
     slice_width = max(reach / 4, 1e-3)
-    far = ceil(float(np.linalg.norm(directions[:, 0])) / slice_width) + 1  # no unit vector projects beyond
+
+    def directions(d: int) -> np.ndarray:
+        return np.random.default_rng([seed, d]).standard_normal((d, projections + 2))
 
     def project(stream):
+        made: dict[int, np.ndarray] = {}
         for batch in stream:
-            ids, vec = batch.column("vec_id"), batch.column("vec")
-            x = vec.flatten().to_numpy().reshape(-1, d)
-            top = np.abs(x).max(axis=1, keepdims=True)
-            x = x / top
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            p = x @ directions
-            at = np.floor(p[:, 0] / slice_width).astype(np.int32) + far
-            q = np.clip(np.rint(p[:, 1:] * GRAIN), -32767, 32767).astype("<i2")
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r.tobytes() for r in x]), pa.array([r.tobytes() for r in q]), pa.array(at)], ["vec_id", "unit", "q", "at"]
-            )
-
-    projected = usable.where(F.size("vec") == d).mapInArrow(project, "vec_id long, unit binary, q binary, at int")
-    projected = space.write(projected, "projected")
-    # at most 2 * far + 1 slices, fixed by the directions
-    blocks = {r[0]: -(-r[1] // BLOCK_ROWS) for r in projected.groupBy("at").count().collect()}
+            sizes = np.diff(batch.column("vec").offsets.to_numpy())
+            flat, starts = batch.column("vec").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            for d in np.unique(sizes).tolist():
+                here = np.flatnonzero(sizes == d)
+                x = flat[starts[here][:, None] + np.arange(d)]
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                if d not in made:
+                    made = {d: directions(d)}  # one width at a time
+                p = x @ made[d]
+                at = np.floor(p[:, 0] / slice_width).astype(np.int32)
+                q = np.clip(np.rint(p[:, 1:] * GRAIN), -32767, 32767).astype("<i2")
+                ids, n = (batch.column(c).take(pa.array(here)) for c in ("rep", "n"))
+                columns = [ids, n, pa.array([d] * len(here), pa.int32()), pa.array([r.tobytes() for r in x]), pa.array([r.tobytes() for r in q]), pa.array(at)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "d", "unit", "q", "at"])
+
+    projected = space.write(alike.mapInArrow(project, "rep long, n long, d int, unit binary, q binary, at int"), "projected")
+    n_reps = projected.count()
     span = ceil(reach / slice_width)
-    first, total = {}, 0
-    for at in sorted(blocks):
-        first[at] = total
-        total += blocks[at]
-    rows = []
-    for at in blocks:
-        near = [b for o in range(at - span, at + span + 1) if o in blocks for b in (first[o], blocks[o])]
-        rows.append((at, blocks[at], first[at], near[0], sum(near[1::2])))
-    # a slice's blocks, and the range of blocks in reach: gapless, as blocks are numbered in the order of the slices
-    reachable = vectors.sparkSession.createDataFrame(rows, "at int, n int, first int, low int, reach int")
-    own = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")
-    dealt = projected.join(F.broadcast(reachable), "at").select("vec_id", "unit", "q", own.alias("own"), "low", "reach")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("reach") - 1)))
-    cells = dealt.select("vec_id", "unit", "q", "own", (F.least("own", "other").cast("long") * total + F.greatest("own", "other")).alias("cell"))
-    w = int(round(window * GRAIN))
+    slices = space.write(projected.groupBy("d", "at").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")), "slices")
+    # of each slice the slices in reach: at most 2 * span + 1
+    near = slices.select("d", "rows", "blocks", F.col("at").alias("own"), F.explode(F.sequence(F.col("at") - span, F.col("at") + span)).alias("at"))
+    near = near.join(slices.select("d", "at", F.col("blocks").alias("others")), ["d", "at"]).groupBy("d", F.col("own").alias("at"), "rows", "blocks")
+    near = space.write(near.agg(F.collect_list(F.struct("at", "others")).alias("reach")), "reach")
+    block = lambda at, b: F.struct(at.alias("at"), b.cast("int").alias("b"))
+    dealt = join_by_key(projected, near, ["d", "at"], "rows", n_reps)
+    dealt = dealt.withColumn("own", block(F.col("at"), F.pmod(F.xxhash64("rep"), F.col("blocks")))).withColumn("to", F.explode("reach"))
+    dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("to.others") - 1))).withColumn("other", block(F.col("to.at"), F.col("b")))
+    cells = dealt.select("rep", "n", "d", "unit", "q", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"))
+    w, r = round(window * GRAIN), round(reach * GRAIN)
 
     def count(key, table):
-        low, high = divmod(key[0].as_py(), total)
-        table = table.sort_by([("own", "ascending"), ("vec_id", "ascending")])
-        own, ids = table.column("own").to_numpy(), table.column("vec_id").to_numpy()
+        d, alone = key[0].as_py(), key[1] == key[2]
+        ids, weights = table.column("rep").to_numpy(), table.column("n").to_numpy()
         x = np.frombuffer(b"".join(table.column("unit").to_pylist())).reshape(-1, d)
-        q = np.frombuffer(b"".join(table.column("q").to_pylist()), "<i2").reshape(len(x), -1).T.copy()
-        split = int(np.searchsorted(own, high)) if low != high else len(ids)
+        q = np.frombuffer(b"".join(table.column("q").to_pylist()), "<i2").reshape(len(x), -1).T.astype(np.int32)
+        side = table.column("first").to_numpy(zero_copy_only=False)
+        lefts, rights = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side), np.flatnonzero(~side))
+        lefts, rights = lefts[np.lexsort((ids[lefts], q[0, lefts]))], rights[np.lexsort((ids[rights], q[0, rights]))]
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for at in range(0, split, STRIP):
-            stop = min(at + STRIP, split)
-            begin = split if low != high else at
-            if begin >= len(ids):
+        # on each direction the place of every right row in the sorted order, and the window of every left row
+        places, begins, widths = [], [], []
+        for p in q[1:]:
+            order = np.argsort(p[rights], kind="stable")
+            place = np.empty(len(rights), np.uint32)
+            place[order] = np.arange(len(rights))
+            ordered = p[rights][order]
+            begin = np.searchsorted(ordered, p[lefts] - w, "left")
+            places.append(place.astype(np.uint16))
+            begins.append(begin.astype(np.uint16))
+            widths.append((np.searchsorted(ordered, p[lefts] + w, "right") - begin).astype(np.uint16))
+        on_second = q[0, rights]
+        for at in range(0, len(lefts), STRIP):
+            stop = min(at + STRIP, len(lefts))
+            start = np.searchsorted(on_second, q[0, lefts[at]] - r, "left")
+            end = np.searchsorted(on_second, q[0, lefts[stop - 1]] + r, "right")
+            if alone:
+                start = max(start, at)
+            if start >= end:
                 continue
-            hits = np.zeros((stop - at, len(ids) - begin), np.uint8)
-            for p in q:
-                # one comparison for |a - b| <= w: the shifted difference wraps around below zero
-                hits += (p[at:stop, None] - p[None, begin:] + np.int16(w)).view(np.uint16) <= 2 * w
-            left, right = np.nonzero(hits >= least)
-            left, right = left + at, right + begin
-            if low == high:
-                left, right = left[left < right], right[left < right]
-            for i in range(0, len(left), VERIFIED):
-                a, b = left[i : i + VERIFIED], right[i : i + VERIFIED]
+            hits = np.zeros((stop - at, end - start), np.uint8)
+            for place, begin, width in zip(places, begins, widths, strict=True):
+                # places before the window wrap around beyond its width
+                hits += place[None, start:end] - begin[at:stop, None] < width[at:stop, None]
+            i, j = np.nonzero(hits >= least)
+            if alone:
+                later = j + start > i + at
+                i, j = i[later], j[later]
+            left, right = lefts[i + at], rights[j + start]
+            for k in range(0, len(left), VERIFIED):
+                a, b = left[k : k + VERIFIED], right[k : k + VERIFIED]
                 true = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
                 a, b = a[true], b[true]
-                links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                np.add.at(links, a, weights[b])
+                np.add.at(links, b, weights[a])
                 fold_pairs(root, a, b)
         linked = np.flatnonzero(links)
         # the root is the first row of a class in the table, not its smallest id; any member will do
-        return pa.table([ids[linked], ids[root[linked]], links[linked]], names=["vec_id", "root", "links"])
-
-    found = space.write(cells.groupBy("cell").applyInArrow(count, "vec_id long, root long, links long"), "found")
-    degrees = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    classes = connected_components(found.select(F.col("vec_id").alias("src"), F.col("root").alias("dst")), space)
-    named = everyone.join(degrees, "vec_id", "left").join(classes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        return pa.table([ids[linked], ids[root[linked]], links[linked]], names=["rep", "root", "links"])
+
+    found = space.write(cells.groupBy("d", "low", "high").applyInArrow(count, "rep long, root long, links long"), "found")
+    degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")), space).withColumnRenamed("node", "rep")
+    told = alike.select("rep", "n").join(degrees, "rep", "left").join(classes, "rep", "left")
+    told = told.select("rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    linked = join_by_key(members, space.write(told, "told"), ["rep"], "n", total)
+    named = everyone.join(linked, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 

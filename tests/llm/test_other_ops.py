@@ -31,29 +31,51 @@ def test_topk_sql(spark):
     same(topk.op2_topk(spark, SF), oracle(topk.OP2_SQL))
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8192), (2, 16)])
-def test_topk_odd(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
-    rows = odd_vectors()
-    got = topk.top_k(vectors(spark, rows).withColumn("score", F.lit("x"))).collect()
-    usable = {i: np.floor(256 * np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and max(map(abs, v)) < 1e9}
+def brute_top_k(rows, k=5):
+    usable = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in [i for i in usable if i % 50 == 0]:
-        scores = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))[:5]
+        scores = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))[:k]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("blocks,sample", [((1 << 16, 8192), 1024), ((2, 16), 1024), ((8, 16), 1)])
+def test_topk_odd(spark, monkeypatch, blocks, sample):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", sample)
+    rows = [r for r in odd_vectors() if r[0] != 600] + [(651, [1e13] + [0.0] * 7), (700, [1.5, 2.0])]
+    got = topk.top_k(vectors(spark, rows).withColumn("score", F.lit("x"))).collect()
+    rows = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top_k(rows)
     assert topk.top_k(vectors(spark, []).limit(0)).count() == 0 and topk.top_k(vectors(spark, [(50, [1.0])])).count() == 0
 
 
+def test_topk_beyond_a_long(spark):
+    far = [(50, [1e30, 0.0]), (1, [-1e30, 1.0])]
+    near = [(i, [0.0, 1.0]) for i in range(2, 8)]
+    # the unreachable score is not among the best
+    assert topk.top_k(vectors(spark, far + near)).count() == 5
+    for rows in (far, [(50, [1e30]), (1, [1e30])]):
+        with pytest.raises(Exception, match="beyond a long"):
+            topk.top_k(vectors(spark, rows)).collect()
+
+
 def test_topk_stops_early():
     rng = np.random.default_rng(0)
     c = np.floor(256 * rng.normal(size=(4000, 4)))
     q, ids = c[:20], np.arange(4000)
     pivots = topk.choose_pivots(c[:500], 24)
-    got = list(topk.search_block(ids[:20], q, ids, c, pivots, 5))
+    dist, evaluated = topk.distances(c, pivots), []
+    got = list(topk.search_block(ids[:20], q, dist[:20], [-np.inf] * 20, ids, c, dist, 5, evaluated))
     want = [(i, int(j), int(q[i] @ c[j])) for i in range(20) for j in np.lexsort((ids, -(c @ q[i])))[:6] if j != i]
-    assert got == [w for i in range(20) for w in [x for x in want if x[0] == i][:5]]
+    want = [w for i in range(20) for w in [x for x in want if x[0] == i][:5]]
+    assert got == want and sum(evaluated) < 0.2 * 20 * 4000
+    # with the k-th score known from elsewhere, less is looked at, and nothing below it is returned
+    again: list[int] = []
+    known = [want[5 * i + 4][2] for i in range(20)]
+    assert list(topk.search_block(ids[:20], q, dist[:20], known, ids, c, dist, 5, again)) == got and sum(again) <= sum(evaluated)
 
 
 def test_embed_sql(spark):
@@ -66,10 +88,11 @@ def test_embed_odd(spark, monkeypatch, rows_a_block):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 8))
     rows = odd_vectors() + [(1000 + i, [float(x) for x in (base[i % 6] * rng.uniform(0.1, 9) + rng.normal(size=8) * 0.05).astype(np.float32)]) for i in range(90)]
-    got = {r.vec_id: r for r in embed_dedup.near_classes(vectors(spark, rows).withColumn("links", F.lit(1)), recall=0.999999).collect()}
+    rows += [(2000, [3.0, 4.0, 0.5]), (2001, [3.0, 4.0, 0.5]), (2002, [6.0, 8.1, 1.0]), (2003, [-3.0, 4.0, 0.5])]  # of a rare width
+    got = {r.vec_id: r for r in embed_dedup.near_classes(vectors(spark, rows).withColumn("links", F.lit(1))).collect()}
     ids = sorted({i for i, _ in rows if i is not None})
-    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    links = {i: {j for j in unit if j != i and i in unit and unit[i] @ unit[j] >= 0.95} for i in ids}
+    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    links = {i: {j for j in unit if j != i and i in unit and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95} for i in ids}
     assert sorted(got) == ids
     found = sum(r.n_links for r in got.values())
     assert found >= 0.98 * sum(map(len, links.values()))
