@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import read
 
+#: Identifiers that an SPDX line may name.
+SPDX = (
+    "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only "
+    "GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+
+#: What stands before the version in a notice of the GNU family, and how it says that later ones do as well.
+_GNU = {"LGPL": "gnu (lesser|library) general public license", "AGPL": "gnu affero general public license", "GPL": "gnu general public license"}
+_LATER = r"(or|any) .*later"
+
+
+def _gnu(name: str, version: str) -> list[tuple[str, str, str]]:
+    which = _GNU[name] + rf".* version {version.replace('.', '[.]')}( |$|[^0-9.])"
+    return [(f"{name}{version}+", "license", which + f".*{_LATER}"), (f"{name}{version}", "license", which)]
+
+
 #: Known sentences: identifier, a word that every such sentence contains, pattern over the normalised sentence. The
-#: first pattern that fits names the sentence.
+#: first pattern that fits names the sentence, so narrower ones come first.
 SENTENCES = [
-    ("LGPL2+", "license", r"gnu (lesser|library) general public license .*version 2.*or .*later"),
-    ("LGPL3", "license", r"gnu lesser general public license.* version 3"),
-    ("AGPL3", "license", r"gnu affero general public license.* version 3"),
-    ("GPL3+", "license", r"gnu general public license.* version 3.*or .*later"),
-    ("GPL3", "license", r"gnu general public license.* version 3"),
-    ("GPL2+", "license", r"gnu general public license.* version 2.*or .*later"),
-    ("GPL2", "license", r"gnu general public license.* version 2"),
-    ("GPLseen", "license", r"(received|see) .*gnu general public license"),
+    *[(f"SPDX-{x}", "spdx", rf"spdx-license-identifier {x.lower().replace('.', '[.]')}( |$)") for x in SPDX],
+    *[x for name, version in (("LGPL", "2.1"), ("LGPL", "2"), ("LGPL", "3"), ("AGPL", "3"), ("GPL", "3"), ("GPL", "2")) for x in _gnu(name, version)],
+    ("GPLseen", "license", r"(received|see) .*gnu (lesser |affero |library )?general public license"),
     ("Apache2", "license", r"licensed under the apache license version 2\.0"),
     ("Apache2use", "license", r"you may not use this file except in compliance with the license"),
     ("Apache2copy", "license", r"you may obtain a copy of the license at"),
@@ -27,8 +38,16 @@ SENTENCES = [
     ("Apache2lang", "license", r"see the license for the specific language"),
     ("MITgrant", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("MITnotice", "permission", r"the above copyright notice and this permission notice .*shall be included"),
-    ("MITasis", "software", r"the software is provided as is without warranty of any kind"),
+    ("MITasis", "software", r"^the software is provided as is without warranty of any kind"),
     ("MITref", "license", r"(released|licensed|distributed|available) under (the terms of )?the mit license"),
+    ("ISCgrant", "permission", r"permission to use copy modify and(-|/| )or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISCasis", "software", r"the software is provided as is and the author disclaims all warranties"),
+    ("ISCref", "license", r"(released|licensed|distributed|available) under (the terms of )?the isc license"),
+    ("Unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("BSLgrant", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("BSLref", "license", r"(distributed|licensed|released) under the boost software license version 1\.0"),
+    ("EPL2", "license", r"eclipse public license.* (v\. ?|v ?|version )2\.0"),
+    ("EPL1", "license", r"eclipse public license.* (v\. ?|v ?|version )1\.0"),
     ("BSDgrant", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BSDsource", "redistribution", r"redistributions of source code must retain the above copyright"),
     ("BSDbinary", "redistribution", r"redistributions in binary form must reproduce the above copyright"),
@@ -40,7 +59,7 @@ SENTENCES = [
     ("CCBYSA4", "license", r"licensed under .*cc by-sa 4\.0"),
     ("CCBY4", "license", r"licensed under .*cc by 4\.0"),
     ("CC0", "cc0", r"cc0 1\.0"),
-    ("MPL2", "license", r"mozilla public license.* (v\. |version )2\.0"),
+    ("MPL2", "license", r"mozilla public license.* (v\. ?|v ?|version )2\.0"),
     ("Rights", "reserved", r"all rights reserved"),
 ]
 
@@ -49,6 +68,7 @@ LICENSE_RULES = [
     ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDname", "BSDasis"]),
     ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDasis"]),
     ("MIT", ["MITgrant", "MITnotice", "MITasis"]),
+    ("ISC", ["ISCgrant", "ISCasis"]),
     ("Apache-2.0", ["Apache2", "Apache2use", "Apache2copy", "Apache2dist", "Apache2lang"]),
     ("Apache-2.0", ["Apache2", "Apache2copy"]),
     ("Apache-2.0", ["Apache2"]),
@@ -56,10 +76,21 @@ LICENSE_RULES = [
     ("GPL-2.0-or-later", ["GPL2+"]),
     ("GPL-3.0-only", ["GPL3"]),
     ("GPL-2.0-only", ["GPL2"]),
+    ("LGPL-2.1-or-later", ["LGPL2.1+"]),
     ("LGPL-2.0-or-later", ["LGPL2+"]),
+    ("LGPL-3.0-or-later", ["LGPL3+"]),
+    ("LGPL-2.1-only", ["LGPL2.1"]),
+    ("LGPL-2.0-only", ["LGPL2"]),
     ("LGPL-3.0-only", ["LGPL3"]),
+    ("AGPL-3.0-or-later", ["AGPL3+"]),
     ("AGPL-3.0-only", ["AGPL3"]),
     ("MIT", ["MITref"]),
+    ("ISC", ["ISCref"]),
+    ("Unlicense", ["Unlicense"]),
+    ("BSL-1.0", ["BSLgrant"]),
+    ("BSL-1.0", ["BSLref"]),
+    ("EPL-2.0", ["EPL2"]),
+    ("EPL-1.0", ["EPL1"]),
     ("BSD", ["BSDref"]),
     ("CC-BY-NC-4.0", ["CCBYNC4"]),
     ("CC-BY-NC-SA-4.0", ["CCBYNCSA4"]),
@@ -67,10 +98,13 @@ LICENSE_RULES = [
     ("CC-BY-4.0", ["CCBY4"]),
     ("CC0-1.0", ["CC0"]),
     ("MPL-2.0", ["MPL2"]),
+    *[(x, [f"SPDX-{x}"]) for x in SPDX],
 ]
 
 #: A sentence ends at . ! ? before white space, and at a blank line; other line ends are white space inside it.
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
+#: The point of "v. 2.0" ends no sentence.
+VERSION, JOINED = r"([ (][vV])[.][ \t\r\n]+([0-9])", "$1.$2"
 #: Normalised sentences are lower-case words, numbers and . + - between single spaces.
 NOISE = r"[^a-z0-9.+-]+"
 
@@ -107,7 +141,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = sorted({word for _, word, _ in SENTENCES})
     may_be_known = lambda text: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
     given = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lower(F.col(text_col)).alias("low"))
-    sentences = F.filter(F.split("text", SENTENCE_END, -1), lambda s: may_be_known(F.lower(s)))
+    sentences = F.filter(F.split(F.regexp_replace("text", VERSION, JOINED), SENTENCE_END, -1), lambda s: may_be_known(F.lower(s)))
     found = F.array_compact(F.transform(F.transform(sentences, normalised), sentence_id))
     tagged = given.select(id_col, F.when(may_be_known(F.col("low")), found).alias("tags"))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("".join(map(_tag, run))).alias("run")) for n, run in LICENSE_RULES])
@@ -141,12 +175,12 @@ def _sql() -> str:
         run = quote("".join(map(_tag, sequence)))
         steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (rest), replace(rest, {run}, '.') AS rest, contains(rest, {run}) AS r{i} FROM s{i})")
         names.append(f"CASE WHEN r{i} THEN {quote(name)} END")
-    end = quote(SENTENCE_END.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n"))
+    plain = lambda p: quote(p.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n"))
     return f"""
 WITH rows AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
-parts AS (SELECT row_id, unnest(p) AS s, unnest(range(len(p))) AS ord FROM (SELECT row_id, string_split_regex(text, {end}) AS p FROM rows)),
-plain AS (SELECT row_id, ord, trim(regexp_replace(regexp_replace(lower(s), {quote(NOISE)}, ' ', 'g'), '[.]+( |$)', '\\1', 'g'), ' ') AS s FROM parts),
-tags AS (SELECT row_id, ord, CASE {case} END AS tag FROM plain),
+parts AS (SELECT row_id, unnest(p) AS s, unnest(range(len(p))) AS ord FROM (SELECT row_id, string_split_regex(regexp_replace(text, {plain(VERSION)}, {quote(JOINED.replace('$', chr(92)))}, 'g'), {plain(SENTENCE_END)}) AS p FROM rows)),
+clean AS (SELECT row_id, ord, trim(regexp_replace(regexp_replace(lower(s), {quote(NOISE)}, ' ', 'g'), '[.]+( |$)', '\\1', 'g'), ' ') AS s FROM parts),
+tags AS (SELECT row_id, ord, CASE {case} END AS tag FROM clean),
 s0 AS (SELECT r.row_id, any_value(doc_id) AS doc_id, coalesce(string_agg(tag, '' ORDER BY ord), '') AS seq,
        coalesce(string_agg(tag, '' ORDER BY ord), '') AS rest, count(tag) AS n FROM rows r LEFT JOIN tags t ON r.row_id = t.row_id GROUP BY r.row_id),
 {", ".join(steps)}

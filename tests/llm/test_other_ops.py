@@ -1,8 +1,11 @@
 """Vectors, pages, language ID and the pipeline."""
 
+import html
 import random
+import re
 import time
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -301,6 +304,72 @@ def test_host_priors_against_brute_force(spark):
     assert got[999].lang == best and abs(got[999].posterior - p[best]) < 2e-3
 
 
+def brute_fusion(rows, languages, scores):
+    """lang and posterior of (id, text, declared, host), one row at a time."""
+    read = []
+    for i, text, told, host in rows:
+        codes = langid.trigrams(text or "")
+        heard = [int(x) * min(langid.EFFECTIVE, len(codes)) // max(1, len(codes)) for x in scores[codes].sum(axis=0, dtype=np.int64)]
+        told = told.split("-")[0].lower() if told else None
+        read.append((i, heard, languages[int(np.argmax(heard))] if len(codes) else None, told if told in languages else None, host, len(codes)))
+    out = {}
+    for i, heard, own, told, host, n in read:
+        others = [r for r in read if r[0] != i and r[2]]
+        share = np.array([sum(r[2] == x for r in others) + 1.0 for x in languages])
+        p = share / share.sum()
+        if host is not None:
+            for part in (lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h):
+                n_part = np.array([sum(r[4] is not None and part(r[4]) == part(host) and r[2] == x for r in others) for x in languages])
+                p = (n_part + langid.LEAN * p) / (n_part.sum() + langid.LEAN)
+        total = np.array(heard) + np.floor(np.log(p) * langid.UNIT)
+        if told and any(r[3] == told and r[2] for r in read):
+            guess = [1 - langid.WRONG if x == told else langid.WRONG / (len(languages) - 1) for x in languages]
+            for k, x in enumerate(languages):
+                c = sum(r[3] == told and r[2] == x for r in others)
+                total[k] += np.floor(np.log((c + langid.LEAN * guess[k]) / (sum(r[2] == x for r in others) + langid.LEAN)) * langid.UNIT)
+        weights = np.exp((total - total.max()) / langid.UNIT)
+        posterior = 1 / weights.sum()
+        out[i] = (languages[int(np.argmax(total))], posterior, n > 0 and posterior >= 0.5)
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    rng = random.Random(7)
+    sample = spark.read.parquet(f"{SF}/documents.parquet").select("text", F.col("lang").alias("label"))
+    languages, scores = langid._fit(sample)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    hosts = ["a.b.net", "c.b.net", "x.org", "y.z.org", None, "", "a.b.net"]
+    rows = [(i, rng.choice([t, " ".join((t or "").split()[:2])]), rng.choice([*languages, "de-AT", "xx", None, ""]), rng.choice(hosts)) for i, t in enumerate(texts)]
+    # nothing to read, a tie, a very long text, a language of one row
+    rows += [(1000, "", "fr", "a.b.net"), (1001, None, None, None), (1002, "12 34", "en", "x.org"), (1003, "the " * 200_000, "en", "y.z.org"), (1004, "qqq", None, "only.one")]
+    got = {r.doc_id: r for r in langid.fuse(spark.createDataFrame(rows, "doc_id long, text string, declared string, host string"), sample).collect()}
+    want = brute_fusion(rows, languages, scores)
+    assert set(got) == set(want)
+    for i, (lang, posterior, accepted) in want.items():
+        assert (got[i].lang, got[i].accepted) == (lang, accepted) and abs(got[i].posterior - posterior) < 1e-5, i
+
+
+def test_language_id_query_against_brute_force(spark):
+    sample = langid.labelled_sample(spark.read.parquet(f"{SF}/documents.parquet"))
+    languages, scores = langid._fit(sample)
+    rows = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        told = re.search(r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]+)", r.html)
+        text = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ", r.html)))
+        rows.append((r.page_id, text, told and told[1], urlsplit(r.url).hostname))
+    want = brute_fusion(rows, languages, scores)
+    got = {r.page_id: r for r in langid.op1_language_id(spark, SF).collect()}
+    assert {i: (r.lang, r.accepted) for i, r in got.items()} == {i: (lang, ok) for i, (lang, _, ok) in want.items()}
+    assert all(abs(got[i].posterior - p) < 1e-5 for i, (_, p, _) in want.items())
+
+
+def test_language_model_has_no_limit_of_languages(spark):
+    rng = random.Random(4)
+    sample = spark.createDataFrame([(words(rng, 20, chr(0x4E00 + i) + chr(0x5E00 + i)), f"l{i:03d}") for i in range(90)], "text string, label string")
+    rows = spark.createDataFrame([(i, words(rng, 10, chr(0x4E00 + i) + chr(0x5E00 + i)), None, None) for i in range(90)], "doc_id long, text string, declared string, host string")
+    assert {r.doc_id: r.lang for r in langid.fuse(rows, sample).collect()} == {i: f"l{i:03d}" for i in range(90)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

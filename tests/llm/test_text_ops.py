@@ -297,7 +297,39 @@ def test_license_odd(spark):
     got = {r.doc_id: (r.licenses, r.unmatched, r.n_sentences) for r in license_scan.scan_licenses(df).where("doc_id <> 5").collect()}
     assert got[1] == ("MIT", "", 3) and got[4] == ("MIT", "", 1) and got[7] == ("MIT", "", 1) and got[8] == ("", "<Rights>" * 3, 3) and got[2] == ("", "", 0)
     assert license_scan.scan_licenses(docs(spark, []).limit(0)).count() == 0
-    assert all(re.search(word, pattern) for _, word, pattern in license_scan.SENTENCES)
+    assert all(word in pattern for _, word, pattern in license_scan.SENTENCES)
+
+
+NOTICE = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public\nLicense as published by the Free Software Foundation; {2}."
+#: Texts as they stand in source files, and the name each license has.
+NOTICES = [
+    (NOTICE.format("library", "Lesser ", "either version 2.1 of the License, or (at your option) any later version"), "LGPL-2.1-or-later"),
+    (NOTICE.format("library", "Lesser ", "version 2.1 of the License only"), "LGPL-2.1-only"),
+    (NOTICE.format("library", "Library ", "either version 2 of the License, or (at your option) any later version"), "LGPL-2.0-or-later"),
+    (NOTICE.format("library", "Lesser ", "either version 3 of the License, or (at your option) any later version"), "LGPL-3.0-or-later"),
+    (NOTICE.format("library", "Lesser ", "version 3 of the License"), "LGPL-3.0-only"),
+    (NOTICE.format("program", "Affero ", "either version 3 of the License, or (at your option) any later version"), "AGPL-3.0-or-later"),
+    (NOTICE.format("program", "Affero ", "version 3"), "AGPL-3.0-only"),
+    (NOTICE.format("program", "", "either version 3 of the License, or\n(at your option) any later version"), "GPL-3.0-or-later"),
+    (NOTICE.format("program", "", "version 2 of the License, or any later version"), "GPL-2.0-or-later"),
+    (NOTICE.format("program", "", "version 2"), "GPL-2.0-only"),
+    ("// SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: GPL-2.0-or-later\ncode here", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1-only"),
+    ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("SPDX-License-Identifier: ISC.", "ISC"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
+     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.', "ISC"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy.", "Unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at x.", "EPL-2.0"),
+    ("All rights reserved. This program is made available under the terms of the Eclipse Public License v1.0 which accompanies it", "EPL-1.0"),
+    (MIT, "MIT"), ("This code is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Available under the MIT License.", "MIT"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("The license plate was blue. He gave his permission.", ""), ("The general public bought a license in version 3.", ""), ("SPDX-License-Identifier: NONE", ""),
+]
+
+
+def test_license_names(spark):
+    got = license_scan.scan_licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(NOTICES)])).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: name for i, (_, name) in enumerate(NOTICES)}
 
 
 def jaccard_classes(rows, shingle, similarity):
