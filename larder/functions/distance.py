@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Letters that Ukrainian and Russian spellings swap, at half the cost of an edit.
-CONFUSABLE = frozenset("еийо")
+CONFUSABLE_CODES = [ord(c) for c in "еийо"]
 #: Edits at full cost need both positions beyond this many letters.
 ANCHORED = 2
 
@@ -26,43 +26,54 @@ def max_cost(word: str) -> float:
     return 2
 
 
-def prefix_distance(word: str, token: str, budget: float) -> float:
-    """Cheapest way from ``word`` to any prefix of ``token``; infinite above ``budget``.
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points of the first ``width`` letters, a row a word; -1 beyond its end."""
+    flat = np.frombuffer("".join(w[:width].ljust(width, "\0") for w in words).encode("utf-32-le"), np.int32).reshape(len(words), width).copy()
+    flat[np.arange(width) >= np.array([len(w) for w in words])[:, None]] = -1
+    return flat
+
+
+def prefix_distances(word: str, tokens: list[str], budget: float) -> np.ndarray:
+    """Cheapest way from ``word`` to any prefix of each token; infinite above ``budget``.
+
+    Substitutions, transpositions, deletions and insertions cost one, confusable letters one half. Full substitutions
+    and transpositions need both positions beyond the anchored start, deletions the word's, insertions the token's; the
+    border is free of that rule. What is further off the diagonal than the budget allows does not count, and no step of
+    the word may cost more than the budget.
 
-    Substitutions, transpositions, deletions and insertions cost one, confusable letters one half. Inner cells take full
-    substitutions and swaps only beyond the anchored start on both sides, deletions by the word's side, insertions by
-    the token's; the border of the table is free of that rule. Cells off the diagonal by more than the band stay
-    infinite, and a row above the budget ends the search.
+    One table for all tokens: word position, token, token position. What is allowed where is laid down first.
     """
-    if token.startswith(word):
-        return 0.0
-    band = math.floor(budget) + 1
-    width = min(len(token), len(word) + band)
-    if width < len(word) - band:
-        return math.inf
-    above2: list[float] | None = None
-    above = [float(j) for j in range(width + 1)]
-    for i, a in enumerate(word, 1):
-        row = [float(i)] + [math.inf] * width
-        for j in range(max(1, i - band), min(width, i + band) + 1):
-            b = token[j - 1]
-            swap = 0.0 if a == b else 0.5 if a in CONFUSABLE and b in CONFUSABLE else 1.0
-            late_word, late_token = i > ANCHORED, j > ANCHORED
-            ways = []
-            if swap < 1 or (late_word and late_token):
-                ways.append(above[j - 1] + swap)
-            if late_word:
-                ways.append(above[j] + 1)
-            if late_token:
-                ways.append(row[j - 1] + 1)
-            if late_word and late_token and above2 is not None and a == token[j - 2] and word[i - 2] == b:
-                ways.append(above2[j - 2] + 1)
-            row[j] = min(ways, default=math.inf)
-        if min(row) > budget:
-            return math.inf
-        above2, above = above, row
-    best = min(above)
-    return best if best <= budget else math.inf
+    n, reach = len(word), math.floor(budget) + 1
+    letters, own = _codes(tokens, n + reach), _codes([word], n)[0]
+    i, j = np.arange(1, n + 1)[:, None], np.arange(1, n + reach + 1)
+    inside = (letters >= 0)[None] & (np.abs(i - j) <= reach)[:, None]
+    free = ((i > ANCHORED) & (j > ANCHORED))[:, None]
+    same = own[:, None, None] == letters
+    soft = np.isin(own, CONFUSABLE_CODES)[:, None, None] & np.isin(letters, CONFUSABLE_CODES)
+    change = np.where(same, 0, np.where(soft, 0.5, np.where(free, 1, np.inf)))
+    crossed = np.zeros_like(same)
+    crossed[1:, :, 1:] = same[1:, :, :-1] & same[:-1, :, 1:]
+    turn, drop = np.where(crossed & free, 1, np.inf), np.where(i > ANCHORED, 1, np.inf)
+    table = np.full((n + 1, len(tokens), n + reach + 1), np.inf)
+    table[0] = np.where(np.pad(letters, ((0, 0), (1, 0))) >= 0, np.arange(n + reach + 1), np.inf)
+    table[:, :, 0] = np.arange(n + 1)[:, None]
+    late = np.arange(ANCHORED, n + reach + 1)
+    for k in range(1, n + 1):
+        cell = np.minimum(table[k - 1, :, :-1] + change[k - 1], table[k - 1, :, 1:] + drop[k - 1])
+        if k > 1:
+            cell[:, 1:] = np.minimum(cell[:, 1:], table[k - 2, :, :-2] + turn[k - 1, :, 1:])
+        cell[~inside[k - 1]] = np.inf
+        # insertions: the cheapest cell to the left and one for each letter since, beyond the anchored ones
+        cell[:, ANCHORED - 1 :] = np.minimum.accumulate(cell[:, ANCHORED - 1 :] - late, axis=1) + late
+        cell[~inside[k - 1]] = np.inf
+        table[k, :, 1:] = cell
+    steps = table.min(axis=2)
+    found = np.where((steps > budget).any(axis=0), np.inf, steps[-1])
+    return np.where([t.startswith(word) for t in tokens], 0.0, found)
+
+
+def prefix_distance(word: str, token: str, budget: float) -> float:
+    return float(prefix_distances(word, [token], budget)[0])
 
 
 def word_matches(word: str, token: str) -> bool:
@@ -70,15 +81,20 @@ def word_matches(word: str, token: str) -> bool:
     return token.startswith(word) or (cap > 0 and prefix_distance(word, token, cap) <= cap)
 
 
-@lru_cache(maxsize=1 << 16)
-def _remembered(word: str, token: str, budget: float) -> float:
-    return prefix_distance(word, token, budget)
+#: Cells of the tables that are made together.
+CELLS = 1 << 20
 
 
 @F.pandas_udf(T.DoubleType())
 def _distance(word: pd.Series, token: pd.Series, budget: pd.Series) -> pd.Series:
-    values = [math.inf if w is None else _remembered(w, t, b) for w, t, b in zip(word, token, budget, strict=True)]
-    return pd.Series([None if v == math.inf else v for v in values], dtype="Float64")
+    asked = pd.DataFrame({"w": word, "t": token, "b": budget})
+    out = pd.Series(np.nan, asked.index)
+    for (w, b), rows in asked.dropna().groupby(["w", "b"]):
+        together = max(1, CELLS // ((len(w) + 1) * (len(w) + math.floor(b) + 2)))
+        for at in range(0, len(rows), together):
+            part = rows.t.iloc[at : at + together]
+            out[part.index] = prefix_distances(w, part.tolist(), b)
+    return out.where(np.isfinite(out)).astype("Float64")
 
 
 def distance_col(word: Column, token: Column, budget: Column) -> Column:

@@ -57,7 +57,7 @@ def js_round(x: Column, digits: int = 0) -> Column:
 def display_number(x: Column, digits: int) -> Column:
     """At most ``digits`` decimals, a narrow group mark and a decimal comma; a dash for null, non-finite or negative."""
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x >= 0)
-    text = F.format_number(x, digits)
+    text = F.format_number(F.round(x, digits), digits)  # halves are rounded up, which format_number alone does not
     if digits:
         text = F.regexp_replace(text, r"\.?0+$", "")
     text = F.translate(text, ",.", "\u00a0,")

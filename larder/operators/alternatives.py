@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.metrics import price_per_protein, protein_per_kcal
 from larder.functions.text import tokens_col
+from larder.sources.storage import Scratch
 
 MIN_KCAL, DENSITY_GAIN = 15, 1.2
 # Words that name no food, as they are (tokens are folded, so those with і never fit), and stems of
@@ -43,18 +44,23 @@ def alternatives(products: DataFrame, store: str = "all", limit: int = 5, source
     An alternative is another product of the category, in stock, with enough energy, a density at least 1.2 times the
     source's, and a common food token; more common tokens come first, then density, then catalogue order.
 
-    Rows with the same tokens share their count of common tokens, so of each set of tokens only the ``limit`` + 1
-    densest candidates can be listed (one of them may be the source). Sets meet by token; rows never do.
+    Rows with the same tokens are a kind. They share their count of common tokens with any other kind, so of each kind only
+    the ``limit`` + 1 densest candidates can be listed (one of them may be the source), and of all kinds that share as
+    many tokens with a kind as well. Kinds meet by token, as numbers; rows meet what is left of that.
     """
+    scratch = Scratch(products.sparkSession, "alternatives")
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("d"), "o"))
     wanted = _sources(products if sources is None else sources)
-    heads = _candidates(products, store)
-    place = F.row_number().over(Window.partitionBy("cat", "toks").orderBy(F.desc("density"), "ord"))
-    heads = heads.withColumn("place", place).where(F.col("place") <= limit + 1)
-    kinds = lambda df, name: df.select("cat", F.col("toks").alias(name)).distinct().withColumn("t", F.explode(name))
-    pairs = kinds(wanted, "toks").join(kinds(heads, "others"), ["cat", "t"]).groupBy("cat", "toks", "others").agg(F.count("*").alias("shared"))
-    offered = heads.select("cat", F.col("toks").alias("others"), F.col("ord").alias("o"), F.col("id").alias("alt"), F.col("density").alias("d"), F.col("ppp").alias("p"))
-    met = wanted.join(pairs, ["cat", "toks"]).join(offered, ["cat", "others"])
-    met = met.where((F.col("alt") != F.col("id")) & (F.col("d") >= F.col("density") * DENSITY_GAIN))
+    heads = _candidates(products, store).select("cat", "toks", F.col("ord").alias("o"), F.col("id").alias("alt"), F.col("density").alias("d"), F.col("ppp").alias("p"))
+    heads = scratch.write(heads.withColumn("place", best("cat", "toks")).where(F.col("place") <= limit + 1).drop("place"), "heads")
+    kinds = wanted.select("cat", "toks").unionByName(heads.select("cat", "toks")).distinct()
+    kinds = scratch.write(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    wanted = scratch.write(wanted.join(kinds, ["cat", "toks"]).select("kind", "id", "density", "ppp"), "wanted")
+    heads = heads.join(kinds, ["cat", "toks"]).select(F.col("kind").alias("other"), "o", "alt", "d", "p")
+    tokens = kinds.select("kind", "cat", F.explode("toks").alias("t"))
+    pairs = tokens.join(tokens.select(F.col("kind").alias("other"), "cat", "t"), ["cat", "t"]).groupBy("kind", "other").agg(F.count("*").alias("shared"))
+    offered = pairs.join(heads, "other").withColumn("place", best("kind", "shared")).where(F.col("place") <= limit + 1)
+    met = wanted.join(offered, "kind").where((F.col("alt") != F.col("id")) & (F.col("d") >= F.col("density") * DENSITY_GAIN))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.desc("d"), "o"))
     cheaper = F.when(F.col("p").isNotNull() & F.col("ppp").isNotNull(), F.col("p") <= F.col("ppp"))
     out = met.withColumn("rank", rank).where(F.col("rank") <= limit)
@@ -71,3 +77,15 @@ def has_alternative(products: DataFrame, store: str = "all") -> DataFrame:
     wanted = _sources(products).select("cat", "id", "density", F.explode("toks").alias("t"))
     most = F.when(F.col("top") == F.col("id"), F.col("second")).otherwise(F.col("most"))
     return wanted.join(tops, ["cat", "t"]).where(most >= F.col("density") * DENSITY_GAIN).select("id").distinct()
+
+
+def keep_alternatives(products: DataFrame, stores: list[str], path: str) -> None:
+    """Write has_alternative() of each of ``stores``, and of ``all``, below ``path``, a partition a store, so that later
+    requests only read ids. Stores that are there already are replaced, others stay."""
+    for store in [*stores, "all"]:
+        has_alternative(products, store).write.mode("overwrite").parquet(f"{path}/store={store}")
+
+
+def kept_alternatives(spark: SparkSession, path: str, store: str = "all") -> DataFrame:
+    """(id) as kept for a store; no rows for a store that is not there."""
+    return spark.read.schema("id string, store string").parquet(path).where(F.col("store") == store).select("id")

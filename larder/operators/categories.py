@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.sources.storage import Scratch
+
 UNKNOWN = ("other", "Інше")
 
 
-def category_paths(nodes: DataFrame, depth: int = 16) -> DataFrame:
+#: Levels climbed between two looks at what is still open.
+CLIMB = 4
+
+
+def category_paths(nodes: DataFrame) -> DataFrame:
     """(id, path, top_id, top_title) of a parent-pointer table (id, parent_id, title); roots have no or an unknown parent.
 
-    Each round joins every open node with its parent; a chain ends at a root, at a node met before (a cycle), or after
-    ``depth`` steps. A row carries the ids it has met.
+    Each round joins every open node with its parent; a chain ends at a root, or at a node met before (a cycle). A row
+    carries the ids it has met, and after each CLIMB rounds the rows are written and the finished ones set aside, so
+    trees of any depth are followed to their top.
     """
+    scratch = Scratch(nodes.sparkSession, "paths")
     base = nodes.select("id", "parent_id", "title")
     parent = base.select(F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("title").alias("p_title"))
     walk = base.select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.array("id").alias("met"), F.col("id").alias("top_id"), F.col("title").alias("top_title"))
-    for _ in range(depth):
-        joined = walk.join(parent, (walk["up"] == parent["p_id"]) & ~F.array_contains(walk["met"], parent["p_id"]), "left")
-        climbs = F.col("p_id").isNotNull()
-        walk = joined.select(
-            "id", F.when(climbs, F.col("p_parent")).alias("up"), F.when(climbs, F.concat("p_title", F.lit(" / "), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(climbs, F.concat("met", F.array("p_id"))).otherwise(F.col("met")).alias("met"),
-            F.coalesce("p_id", "top_id").alias("top_id"), F.when(climbs, F.col("p_title")).otherwise(F.col("top_title")).alias("top_title"),
-        )
-    return walk.select("id", "path", "top_id", "top_title")
+    done, turn = None, 0
+    while True:
+        for _ in range(CLIMB):
+            joined = walk.join(parent, (walk["up"] == parent["p_id"]) & ~F.array_contains(walk["met"], parent["p_id"]), "left")
+            climbs = F.col("p_id").isNotNull()
+            walk = joined.select(
+                "id", F.when(climbs, F.col("p_parent")).alias("up"), F.when(climbs, F.concat("p_title", F.lit(" / "), "path")).otherwise(F.col("path")).alias("path"),
+                F.when(climbs, F.concat("met", F.array("p_id"))).otherwise(F.col("met")).alias("met"),
+                F.coalesce("p_id", "top_id").alias("top_id"), F.when(climbs, F.col("p_title")).otherwise(F.col("top_title")).alias("top_title"),
+            )
+        walk = scratch.write(walk, f"walk-{turn}")
+        turn += 1
+        ended = walk.where("up is null").select("id", "path", "top_id", "top_title")
+        done = ended if done is None else done.unionByName(ended)
+        walk = walk.where("up is not null")
+        if walk.isEmpty():
+            return done
 
 
 def resolve_category(products: DataFrame, paths: DataFrame, first: str, second: str, scanned: str) -> DataFrame:

@@ -3,11 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges folded at a time.
+CHUNK = 1 << 20
+
+
+def folded(edges: DataFrame, group: str) -> DataFrame:
+    """(node, component, chunk): the classes of the edges (src, dst long) of each group, as far as one task sees them.
+
+    Groups, of which no class spans two, are dealt to tasks; a task folds CHUNK edges at a time. If all chunks are 0, each
+    component is complete and the smallest node of its class; else the rows are edges to go on from.
+    """
+
+    def fold(stream):
+        chunk, held, n = 0, [], 0
+        for batch in chain(stream, [None]):
+            if batch is not None:
+                held.append(np.stack([batch.column("src").to_numpy(), batch.column("dst").to_numpy()]))
+                n += batch.num_rows
+            if n and (batch is None or n >= CHUNK):
+                nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+                left, right = at.reshape(2, -1)
+                root, was = np.arange(len(nodes)), None
+                while was is None or (root != was).any():
+                    was = root.copy()
+                    low = np.minimum(root[left], root[right])
+                    for side in (left, right):
+                        np.minimum.at(root, root[side], low)
+                    root = root[root]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root]), pa.array(np.full(len(nodes), chunk))], ["node", "component", "chunk"])
+                chunk, held, n = chunk + 1, [], 0
+
+    return edges.repartition(group).select("src", "dst").mapInArrow(fold, "node long, component long, chunk long")
+
+
 def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None], label: str = "components") -> DataFrame:
     """(node, component) of every node in ``edges`` (src, dst long); component is the smallest node reachable.
 

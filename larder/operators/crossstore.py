@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.metrics import js_round, pack_size, price_per_100g
 from larder.functions.text import fold, fold_col, tokens_col
-from larder.operators.components import connected_components
+from larder.operators.components import connected_components, folded
 from larder.sources.storage import Scratch
 
 SIMILAR, MAX_RATIO = 0.6, 2.0
@@ -57,30 +57,44 @@ KEYS = ["b", "size", "pct", "cnt"]
 
 
 def similar_pairs(keyed: DataFrame) -> DataFrame:
-    """(src, dst) of rows with equal keys whose tokens overlap enough, src before dst, in buckets of several stores.
+    """(src, dst) of rows with equal keys whose tokens overlap enough, src before dst, in buckets of several stores."""
+    return _met(keyed).select("src", "dst").distinct()
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """The same with the bucket, and once for each token that two rows meet by.
 
     Prefix filter: with a common order of tokens, two sets that overlap enough share one of the first
-    n - ceil(0.6 n) + 1 tokens, so rows meet by key and such a token instead of all in their bucket; longer tokens come
-    first in the order, as they are rarer.
+    n - ceil(0.6 n) + 1 tokens, so rows meet by key and such a token instead of all in their bucket; rarer tokens, by the
+    number of rows that hold them, come first in the order.
     """
     wide = keyed.groupBy(*KEYS).agg(F.min("store").alias("lo"), F.max("store").alias("hi")).where("lo < hi").select(*KEYS)
-    rows = keyed.join(wide, KEYS, "left_semi").where(F.size("toks") > 0)
-    rarest = F.array_sort(F.transform("toks", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    n = F.size("toks")
-    first = F.slice(F.transform(rarest, lambda x: x["t"]), F.lit(1), n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1)
-    probes = rows.select("ord", *KEYS, "toks", F.explode(first).alias("t"))
-    left = probes.select(*KEYS, "t", F.col("ord").alias("src"), F.col("toks").alias("a"))
-    right = probes.select(*KEYS, "t", F.col("ord").alias("dst"), F.col("toks").alias("z"))
+    rows = keyed.join(wide, KEYS, "left_semi").where(F.size("toks") > 0).select("ord", F.xxhash64(*KEYS).alias("bucket"), F.struct(*KEYS).alias("key"), "toks")
+    held = rows.select("ord", "bucket", "key", F.size("toks").alias("n"), F.explode("toks").alias("t"))
+    counted = held.join(held.groupBy("t").agg(F.count("*").alias("often")), "t")
+    ranked = counted.groupBy("ord", "bucket", "key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ranked"))
+    rows = ranked.withColumn("toks", F.transform("ranked", lambda x: x["t"]))
+    first = F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
+    probes = rows.select("ord", "bucket", "key", "toks", F.explode(first).alias("t"))
+    left = probes.select("bucket", "key", "t", F.col("ord").alias("src"), F.col("toks").alias("a"))
+    right = probes.select("bucket", "key", "t", F.col("ord").alias("dst"), F.col("toks").alias("z"))
     shared = F.size(F.array_intersect("a", "z"))
-    met = left.join(right, [*KEYS, "t"]).where((F.col("src") < F.col("dst")) & (shared / (F.size("a") + F.size("z") - shared) >= SIMILAR))
-    return met.select("src", "dst").distinct()
+    return left.join(right, ["bucket", "key", "t"]).where((F.col("src") < F.col("dst")) & (shared / (F.size("a") + F.size("z") - shared) >= SIMILAR))
 
 
 def item_clusters(products: DataFrame) -> DataFrame:
-    """(ord, id, store, per100, component) of all rows linked to another; rows without a price link too."""
+    """(ord, id, store, per100, component) of all rows linked to another; rows without a price link too.
+
+    A class lies in one bucket, and a bucket in one task, which folds its links; only if one has too many links to fold
+    at once do rounds over written tables go on from there.
+    """
     scratch = Scratch(products.sparkSession, "crossstore")
     keyed = scratch.write(matching_keys(products), "keyed")
-    classes = connected_components(similar_pairs(keyed), scratch.write, scratch.drop)
+    classes = scratch.write(folded(_met(keyed), "bucket"), "folded")
+    if classes.where("chunk > 0").isEmpty():
+        classes = classes.select("node", "component")
+    else:
+        classes = connected_components(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")), scratch.write, scratch.drop)
     return keyed.join(classes.withColumnRenamed("node", "ord"), "ord").select("ord", "id", "store", "per100", "component")
 
 

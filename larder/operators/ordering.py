@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder.functions.metrics import NUTRIENTS, nutrient_value, price_per_100g, price_per_protein, protein_per_kcal, sort_keys
+from larder.sources.storage import Scratch
 
 #: Keys that start ascending; all others start descending.
 ASCENDING = ("title", "pricePer100", "pricePerProtein")
@@ -36,6 +36,24 @@ def next_sort(key: str, current: tuple[str, str]) -> tuple[str, str]:
     return key, "asc" if key in ASCENDING else "desc"
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+    """Number all rows in order: they are written in sorted ranges, and only the ranges' sizes reach the driver.
+
+    The order must leave no ties for the numbers to be the same each time. The result is a written table's rows.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    rows = Scratch(spark, "order").write(dealt, "ranges")
+    part, local = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))  # as that function builds its ids
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect())
+    firsts, at = [], start
+    for p, n in sizes:
+        firsts.append((p, at))
+        at += n
+    firsts = spark.createDataFrame(firsts, "__part long, __first long")  # one row a range
+    return rows.withColumn("__part", part).join(F.broadcast(firsts), "__part").withColumn(name, F.col("__first") + local).drop("__part", "__first", "__row")
+
+
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Number all rows from 1. A single ordered window: for reports, not for whole catalogues; use page() there."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """All rows with their place from 1. For a page of them, page() is cheaper."""
+    return numbered(df, order, "rank")

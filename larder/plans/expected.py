@@ -1,0 +1,205 @@
+"""Registered queries whose rows are known beforehand: a small fixed shelf is searched, requests are taken through their
+states, and the SQL is the table of what must come out."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larder.functions import dictionary, distance
+from larder.functions.text import fold
+from larder.operators import facets, filters, ordering, search
+from larder.plans import request
+from larder.plans.request import CatalogQuery
+from larder.sources import snapshots
+
+# The shelf that is searched (title, brand, path).
+SHELF = [
+    ("Сир кисломолочний President 9% 300г", "President", "Молочне / Сир кисломолочний"),
+    ("Полуниця свіжа", None, "Фрукти та овочі / Ягоди"),
+    ("Сік яблучний Sandora 1л", "Sandora", "Напої / Соки"),
+    ("Хліб Київхліб житній", "Київхліб", "Хліб та випічка"),
+    ("Огірок короткоплідний", None, "Фрукти та овочі / Овочі"),
+    ("Олія соняшникова Олейна 1л", "Олейна", "Бакалія / Олія"),
+    ("Сир твердий Гауда", None, "Молочне / Сири тверді"),
+    ("Морква мита", None, "Фрукти та овочі / Овочі"),
+    ("Кава Jacobs Monarch розчинна 200г", "Jacobs", "Гарячі напої / Кава"),
+    ("Чипси Lay's зі сметаною 133г", "Lay's", "Чипси та снеки"),
+    ("Качка свіжа охолоджена", None, "М'ясо / Птиця"),
+    ("Напій газований Живчик 0.5л", "Живчик", "Напої / Газовані"),
+]
+# What is typed, and the places on the shelf of what must be found; None for everything.
+FOUND = [
+    ("полуниця", [1]), ("полун", [1]), ("клубника", [1]), ("клубніка", [1]), ("сок яблочный", [2]), ("хлеб", [3]), ("огурец", [4]), ("морковь", [7]), ("творог", [0]),
+    ("подсолнечное масло", [5]), ("сир гауда", [6]), ("сир липовий", []), ("sandora", [2]), ("джакобс", [8]), ("президент", [0]), ("лейс", [9]), ("утка", [10]), ("газировка", [11]), ("300", [0]),
+    ("  ...полуниця!!!  ", [1]), ("сир молоко мясо риба хліб", []), ("%#@", None),
+]
+# The words that suggestions are made from, what is typed, and what is offered.
+OFFERED_FROM = [
+    ("Сир кисломолочний President 9% 300г", "President", "Молочне / Сир кисломолочний"),
+    ("Полуниця свіжа", None, "Фрукти та овочі / Ягоди"),
+    ("Олія соняшникова Олейна 1л", "Олейна", "Бакалія / Олія"),
+    ("Молоко Яготинське 2,5% 900г", "Яготинське", "Молочне / Молоко"),
+    ("Йогурт Активіа натуральний 2,7%", "Активіа", "Молочне / Йогурти"),
+]
+OFFERED = [("полунеця", ["полуниця"]), ("олея", ["олія", "олейна"]), ("клубнека", ["полуниця", "полуничний"]), ("молоко ягтинське", ["молоко яготинське"]), ("ї", []), ("", []), ("полуниця", ["олія"])]
+# Word, token, budget, cost (None above the budget).
+COSTS = [
+    ("молок", "молоко", 2.0, 0.0), ("молок", "молокопродукт", 2.0, 0.0), ("сок", "сік", 0.5, 0.5), ("хлеб", "хліб", 1.0, 0.5), ("сік", "сир", 0.5, None), ("сок", "сир", 0.5, None),
+    ("молако", "молоко", 1.0, 1.0), ("молоок", "молоко", 1.0, 1.0), ("абвгде", "вгдабе", 1.0, None), ("омлоко", "молоко", 1.0, None), ("смолоко", "молоко", 1.0, 1.0),
+    ("индейка", "індичка", 1.5, 1.5), ("печень", "печінка", 1.0, 0.5), ("семга", "сьомга", 1.0, 0.5), ("колбаса", "ковбаса", 1.5, 1.0), ("треска", "тріска", 1.0, 0.5), ("мука", "макарони", 1.0, None), ("хлеб", "хребет", 1.0, None),
+    ("9", "90", 0.0, 0.0), ("9", "19", 0.0, None),
+]
+# A word and what it may cost.
+BUDGETS = [("9", 0.0), ("123456789", 0.0), ("по", 0.0), ("сир", 0.5), ("риба", 1.0), ("шоколад", 1.5), ("кисломолочний", 2.0)]
+# Words of another language or spelling, and a phrase they stand for.
+MEANT = [("творог", "сир кисломолочний"), ("клубника", "полуниця"), ("клубнека", "полуниця"), ("клубни", "полуниця"), ("мука", "борошно"), ("морковь", "морква"), ("огурец", "огирок")]
+
+
+def _quoted(value) -> str:
+    if value is None:
+        return "NULL"
+    return repr(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def table_sql(columns: dict[str, str], rows) -> str:
+    """A table of known rows; columns: name and type."""
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in columns.items())
+    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) AS t({', '.join(columns)})"
+
+
+def _shelf(spark, rows) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, title string, brand string, path string")
+
+
+def search_shelf(spark, sf_dir):
+    shelf = _shelf(spark, SHELF)
+    index = search.build_index(shelf)
+    found = [search.search(shelf, index, q).select(F.lit(q).alias("query"), "title") for q, _ in FOUND]
+    return reduce(DataFrame.unionByName, found)
+
+
+SEARCH_SHELF_SQL = table_sql({"query": "VARCHAR", "title": "VARCHAR"}, [(q, SHELF[i][0]) for q, at in FOUND for i in (range(len(SHELF)) if at is None else at)])
+
+
+def suggestions(spark, sf_dir):
+    index = search.build_index(_shelf(spark, OFFERED_FROM))
+    rows = [(q, i, s) for q, _ in OFFERED for i, s in enumerate(search.suggest(index, q))]
+    return spark.createDataFrame(rows, "query string, place int, suggestion string")
+
+
+SUGGESTIONS_SQL = table_sql({"query": "VARCHAR", "place": "INTEGER", "suggestion": "VARCHAR"}, [(q, i, s) for q, found in OFFERED for i, s in enumerate(found)])
+
+
+def diagnosis(spark, sf_dir):
+    """Why a result is empty: the filters, or a term that nothing on the shelf fits."""
+    shelf = _shelf(spark, SHELF)
+    index = search.build_index(shelf)
+    rows = [(q, search.diagnose(shelf, index, q)[0], facets.matches_anything(search.search(shelf, index, q))) for q in ("морква", "сир липовий", "", "ківі")]
+    return spark.createDataFrame(rows, "query string, reason string, any boolean")
+
+
+DIAGNOSIS_SQL = "SELECT * FROM (VALUES ('морква', 'filters', true), ('сир липовий', 'term', false), ('', 'filters', true), ('ківі', 'filters', true)) AS t(query, reason, \"any\")"
+
+
+def edit_costs(spark, sf_dir):
+    pairs = spark.createDataFrame([(w, t, fold(w), fold(t), b) for w, t, b, _ in COSTS], "word string, token string, w string, t string, budget double")
+    return pairs.select("word", "token", "budget", distance.distance_col(F.col("w"), F.col("t"), F.col("budget")).alias("cost"))
+
+
+EDIT_COSTS_SQL = table_sql({"word": "VARCHAR", "token": "VARCHAR", "budget": "DOUBLE", "cost": "DOUBLE"}, COSTS)
+
+
+def word_budgets(spark, sf_dir):
+    return spark.createDataFrame([(w, float(distance.max_cost(w))) for w, _ in BUDGETS], "word string, budget double")
+
+
+WORD_BUDGETS_SQL = table_sql({"word": "VARCHAR", "budget": "DOUBLE"}, BUDGETS)
+
+
+def dictionary_phrases(spark, sf_dir):
+    rows = [(typed, " ".join(phrase)) for typed, _ in MEANT for phrase in dictionary.alternatives(fold(typed))]
+    counted = [("entries", str(len(dictionary.entries()))), ("phrases", str(sum(len(e.phrases) for e in dictionary.entries())))]
+    meant = spark.createDataFrame([(a, b) for a, b in MEANT], "typed string, phrase string")
+    return spark.createDataFrame(rows, "typed string, phrase string").join(meant, ["typed", "phrase"], "left_semi").distinct().unionByName(spark.createDataFrame(counted, "typed string, phrase string"))
+
+
+DICTIONARY_SQL = table_sql({"typed": "VARCHAR", "phrase": "VARCHAR"}, [*MEANT, ("entries", "134"), ("phrases", "153")])
+
+
+def _states() -> list[tuple[str, str]]:
+    """What a request becomes, case by case."""
+    start, plain = CatalogQuery.landing("north"), CatalogQuery(store="north", preset=None)
+    bounds = lambda q: json.dumps({n: q.bounds(n) for n in ("kcal", "protein", "fat")})
+    history: list[dict] = []
+    for i in range(12):
+        history = request.pushed(history, f"query {i}")
+    stored = CatalogQuery.from_json(start.to_json())
+    broken = CatalogQuery.from_json('{"preset": "gone", "sort": ["x", "asc"], "hide_pets": 1, "price": ["1", 2], "store": "south", "ranges": {"fat": {"min": "1", "max": ""}}}')
+    typed = replace(plain, query="сир", brand="B", category="meat", discount_only=True, price=("1", "2,5"), in_stock_only=False)
+    return [
+        ("landing preset", str(start.preset)), ("landing sort", " ".join(start.sort)), ("landing bounds", bounds(start)), ("landing density", start.min_density), ("landing active", str(start.active_filters())),
+        ("preset again", str(start.with_preset("cheap-protein").preset)), ("preset again bounds", bounds(start.with_preset("cheap-protein"))), ("preset again sort", " ".join(start.with_preset("cheap-protein").sort)),
+        ("other preset", bounds(start.with_preset("lean"))), ("filling sort", " ".join(plain.with_preset("filling").sort)), ("volume bounds", bounds(plain.with_preset("volume"))),
+        ("active of typed", str(typed.active_filters())), ("cleared query", typed.cleared().query), ("cleared brand", str(typed.cleared().brand)), ("cleared stock", str(typed.cleared().in_stock_only)), ("reset query", typed.reset().query),
+        ("unknown category", typed.known_category({"fish"}).category), ("known category", typed.known_category({"meat"}).category),
+        ("same sort", " ".join(ordering.next_sort("price", ("price", "desc")))), ("new sort", " ".join(ordering.next_sort("price", ("title", "asc")))), ("new ascending sort", " ".join(ordering.next_sort("pricePer100", ("price", "asc")))),
+        ("stored", str(stored == start)), ("broken json", str(CatalogQuery.from_json("{bad") == CatalogQuery())), ("broken preset", str(broken.preset)), ("broken sort", " ".join(broken.sort)), ("broken pets", str(broken.hide_pets)),
+        ("broken price", " ".join(broken.price)), ("broken store", broken.store), ("broken fat", str(broken.bounds("fat"))),
+        ("history length", str(len(history))), ("history top", history[0]["q"]), ("history again", f"{request.pushed(history, 'query 5')[0]['q']} {len(request.pushed(history, 'query 5'))}"), ("history short", str(request.pushed(history, " x ") == history)),
+        ("history shown", str(len(request.shown(history, "query 11")))), ("history loaded", json.dumps(request.load_history('[{"q": "a"}, {"z": 1}, 3]'))), ("history broken", str(request.load_history("{"))),
+        ("history taken", bounds(plain.from_history({"q": "сир", "filters": {"ranges": {"fat": ["", "3"]}}}))), ("numbers", str([request.number(x) for x in ("1,5", "", "abc", "1e3", " 7 ", "inf")])),
+        ("badges", " | ".join(typed.badges())), ("landing badges", start.describe()),
+    ]
+
+
+# The cases above, one by one.
+STATES = [
+    ("landing preset", "cheap-protein"), ("landing sort", "pricePerProtein asc"), ("landing bounds", '{"kcal": [null, null], "protein": [8.0, null], "fat": [null, null]}'), ("landing density", "6"), ("landing active", "2"),
+    ("preset again", "None"), ("preset again bounds", '{"kcal": [null, null], "protein": [null, null], "fat": [null, null]}'), ("preset again sort", "pricePerProtein asc"),
+    ("other preset", '{"kcal": [null, null], "protein": [12.0, null], "fat": [null, 5.0]}'), ("filling sort", "proteinPerKcal desc"), ("volume bounds", '{"kcal": [15.0, 80.0], "protein": [3.0, null], "fat": [null, null]}'),
+    ("active of typed", "5"), ("cleared query", "сир"), ("cleared brand", "None"), ("cleared stock", "False"), ("reset query", ""),
+    ("unknown category", "all"), ("known category", "meat"), ("same sort", "price asc"), ("new sort", "price desc"), ("new ascending sort", "pricePer100 asc"),
+    ("stored", "True"), ("broken json", "True"), ("broken preset", "None"), ("broken sort", "pricePerProtein asc"), ("broken pets", "True"), ("broken price", " "), ("broken store", "south"), ("broken fat", "(1.0, None)"),
+    ("history length", "10"), ("history top", "query 11"), ("history again", "query 5 10"), ("history short", "True"), ("history shown", "8"), ("history loaded", '[{"q": "a", "filters": null}]'), ("history broken", "[]"),
+    ("history taken", '{"kcal": [null, null], "protein": [null, null], "fat": [null, 3.0]}'), ("numbers", "[1.5, None, None, 1000.0, 7.0, None]"),
+    ("badges", "price 1–2,5 | discount | B | meat | out of stock too"), ("landing badges", "protein ≥ 8, density ≥ 6"),
+]
+
+
+def request_states(spark, sf_dir):
+    return spark.createDataFrame(_states(), "state string, value string")
+
+
+REQUEST_STATES_SQL = table_sql({"state": "VARCHAR", "value": "VARCHAR"}, STATES)
+
+SECTIONS = [("1", "m-iaso-12", None, "М"), ("2", "dytiachi-tovary-3", None, "Д"), ("3", "x", "2", "Дитяче Харчування"), ("4", "y", "2", "Іграшки"), ("5", "posud", None, "П"), ("6", "syry-7", "1", "С")]
+
+
+def food_sections(spark, sf_dir):
+    rows = spark.createDataFrame(SECTIONS, "id string, slug string, parent_id string, title string")
+    return snapshots.food_sections(rows).select("id", "title")
+
+
+FOOD_SECTIONS_SQL = table_sql({"id": "VARCHAR", "title": "VARCHAR"}, [("1", "М"), ("3", "Дитяче Харчування")])
+
+
+def shown_categories(spark, sf_dir):
+    """Categories of one store or of all, with and without pets."""
+    rows = spark.createDataFrame([("meat", 3, {"north": 3}), ("fish", 2, {"south": 2}), ("pets", 1, {"north": 1}), ("none", 0, {})], "id string, count long, counts map<string,long>")
+    cases = [(store, pets) for store in ("all", "north", "west") for pets in (True, False)]
+    shown = [filters.visible_categories(rows, store, pets).select(F.lit(store).alias("store"), F.lit(pets).alias("hidden"), "id") for store, pets in cases]
+    return reduce(DataFrame.unionByName, shown)
+
+
+SHOWN_CATEGORIES_SQL = """SELECT * FROM (VALUES ('all', true, 'meat'), ('all', true, 'fish'), ('all', false, 'meat'), ('all', false, 'fish'), ('all', false, 'pets'),
+  ('north', true, 'meat'), ('north', false, 'meat'), ('north', false, 'pets')) AS t(store, hidden, id)"""
+
+QUERIES = {
+    "search_shelf": (search_shelf, SEARCH_SHELF_SQL), "suggestions": (suggestions, SUGGESTIONS_SQL), "diagnosis": (diagnosis, DIAGNOSIS_SQL), "edit_costs": (edit_costs, EDIT_COSTS_SQL), "word_budgets": (word_budgets, WORD_BUDGETS_SQL),
+    "dictionary_phrases": (dictionary_phrases, DICTIONARY_SQL), "request_states": (request_states, REQUEST_STATES_SQL), "food_sections": (food_sections, FOOD_SECTIONS_SQL), "shown_categories": (shown_categories, SHOWN_CATEGORIES_SQL),
+}

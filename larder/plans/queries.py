@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions import metrics
 from larder.functions.text import DROPPED, FOLDED_FROM, FOLDED_TO, fold, tokens_col
 from larder.operators import alternatives, categories, crossstore, facets, filters, ordering, search
-from larder.plans import catalog
+from larder.plans import catalog, expected, raw_queries
 from larder.plans.request import PRESETS, CatalogQuery
 from larder.sources.catalog import PRODUCTS_SQL, derived_products
 from larder.sources.snapshots import first_by
@@ -129,7 +129,7 @@ def category_paths(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("title")
     )
-    return categories.category_paths(region.unionByName(nation), depth=3)
+    return categories.category_paths(region.unionByName(nation))
 
 
 def snapshot_stats(spark, sf_dir):
@@ -199,7 +199,7 @@ QUERIES = {
     "sort_pack_basis": (_rows(replace(ANY, basis="pack", sort=("protein", "desc"))), _rows_sql("true", "protein * (CASE WHEN weight > 0 THEN weight WHEN volume > 0 THEN volume END) / 100", True)),
     "sort_per100": (_rows(replace(ANY, sort=("pricePer100", "asc"))), _rows_sql("true", "per100", False)),
     "sort_price_desc": (_rows(replace(ANY, sort=("price", "desc"))), _rows_sql("true", "price", True)),
-    "sort_title_uk": (_rows(replace(ANY, sort=("title", "asc"))), None),
+    "sort_title_uk": (_rows(replace(ANY, sort=("title", "asc"))), _rows_sql("true", "title COLLATE uk", False)),
     "size_labels": (
         labels,
         _with("SELECT id, CASE WHEN unit = 'kg' THEN 'за кг' WHEN unit = 'l' THEN 'за л' WHEN weight > 0 THEN CAST(CAST(weight AS INTEGER) AS VARCHAR) || chr(160) || 'г' WHEN volume > 0 THEN CAST(CAST(volume AS INTEGER) AS VARCHAR) || chr(160) || 'мл' ELSE 'шт' END AS size_label FROM p"),
@@ -219,8 +219,9 @@ QUERIES = {
     "vocab_counts": (vocab_counts, _with(f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct({TOKENS.format(chr(32).join(['concat_ws(chr(32), title, brand, path)']))})) AS token FROM p) GROUP BY token")),
     "size_pct_pack_keys": (matching_keys, _with_part(_MATCH_SQL, "SELECT id, size, pct, cnt FROM k0")),
     "search_exact_prefix": (_search("widg red", False), _with(f"SELECT id, title FROM p WHERE len(list_filter({TOKENS.format('concat_ws(chr(32), title, brand, path)')}, lambda t: starts_with(t, 'wиdg'))) > 0 AND len(list_filter({TOKENS.format('concat_ws(chr(32), title, brand, path)')}, lambda t: starts_with(t, 'red'))) > 0")),
-    "search_fuzzy": (_search("widgte молода", True), None),
-    "suggest_terms": (suggest_terms, None),
+    # of the words of these titles only one is within reach of the first
+    "search_fuzzy": (_search("widgte молода", True), _with("SELECT id, title FROM p WHERE contains(title, 'widget') AND contains(title, ' молода')")),
+    "suggest_terms": (suggest_terms, "SELECT 'widget' AS display, CAST(1 AS DOUBLE) AS dist"),
     "crossstore_edges": (crossstore_edges, _with_part(_MATCH_SQL, "SELECT src, dst FROM edges")),
     "crossstore_clusters": (crossstore_clusters, _with_part(_MATCH_SQL, "SELECT id, component FROM clusters")),
     "crossstore_compare": (crossstore_compare, _with_part(_MATCH_SQL, "SELECT *, CASE WHEN isCheapest THEN 'cheapest' WHEN deltaPct < 1 THEN 'level' ELSE 'dearer' END AS label FROM final")),
@@ -236,6 +237,10 @@ QUERIES = {
 }
 
 
+QUERIES |= expected.QUERIES
+QUERIES |= raw_queries.queries_sql(lambda body: _with_part(_ALT_SQL, body), lambda body: _with_part(_MATCH_SQL, body))
+
+
 def queries():
     return {name: run for name, (run, _) in QUERIES.items()}
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from larder.sources.storage import Scratch
+from larder.operators.ordering import numbered
 
 _TEXT = {f: T.StringType() for f in ("id", "store", "title", "cat", "path", "unit", "brand", "img", "url")}
 _NUMBER = {f: T.DoubleType() for f in ("price", "oldPrice", "weight", "volume", "kcal", "protein", "fat", "carbs")}
@@ -72,12 +71,5 @@ def merged_details(cache: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def with_order(df: DataFrame, *by: str) -> DataFrame:
-    """Number rows from 0 in the order of ``by``: written in sorted ranges, of which only the sizes are looked at."""
-    scratch = Scratch(df.sparkSession, "order")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
-    ranged = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
-    ranged = scratch.write(scratch.write(ranged, "ranges").withColumn("__at", within), "sorted")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return ranged.join(F.broadcast(starts), "__part").withColumn("ord", F.col("__start") + F.col("__at") - 1).drop("__part", "__at", "__start")
+    """Number rows from 0 in the order of ``by``."""
+    return numbered(df, [F.col(c) for c in by], "ord", 0)

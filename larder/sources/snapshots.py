@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.metrics import js_round
-from larder.functions.parsing import discount_price, usable_price
+from larder.functions.parsing import discount_price, energy_kcal, first_number, from_kopecks, in_stock_flag, pick_image, usable_price
+from larder.operators.categories import resolve_category
 
 RAW_PRODUCT = (
     "id string, title string, top struct<id:string,title:string>, path string, price double, oldPrice double, weight double, volume double, unit string, "
@@ -44,6 +45,45 @@ FOOD_SECTIONS = [
 PARTLY_FOOD, FOOD_TITLE = "dytiachi-tovary", "(?iu)харчуванн"
 
 
+#: Products a listing page holds; a shorter one is the last.
+PER_PAGE = 100
+_ITEM = (
+    "ean:string,title:string,category_id:string,parent_category_id:string,price:double,discount:struct<status:boolean,old_price:double>,weight:double,volume:double,"
+    "unit:string,nutrition_facts:struct<ingredient_energy:string,ingredient_protein:string,ingredient_fat:string,ingredient_carbohydrates:string>,"
+    "producer:struct<trademark:string>,img:map<string,string>,web_url:string,in_stock:boolean"
+)
+#: A listing page as fetched: the section, its place among the sections, the page from 1.
+PAGE = f"section string, section_ord int, page int, results array<struct<{_ITEM}>>"
+
+
+def listed_items(pages: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
+    """(section, section_ord, page, pos, item) of the listing pages (PAGE): a section goes on until its first page that is
+    missing, empty or short; what lies behind that is not part of the listing. Pages fetched twice count once."""
+    once = first_by(pages.withColumn("__page", F.struct("section", "page")), "__page", F.desc(F.size("results"))).drop("__page")
+    so_far = Window.partitionBy("section").orderBy("page")
+    full = F.size("results") >= per_page
+    known = once.withColumns({"n": F.row_number().over(so_far), "short": F.coalesce(F.max(~full).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))})
+    return known.where((F.col("n") == F.col("page")) & ~F.col("short")).select("section", "section_ord", "page", F.posexplode("results").alias("pos", "item"))
+
+
+def listed_products(items: DataFrame, paths: DataFrame) -> DataFrame:
+    """RAW_PRODUCT rows of listed_items() with their place (order): prices in kopecks, texts as typed, categories by
+    ``paths`` (id, path, top_id, top_title). Rows without any nutrient are left out; of rows that repeat a code the first
+    in the order of the sections counts."""
+    facts = {n: F.col(f"item.nutrition_facts.ingredient_{f}") for n, f in (("kcal", "energy"), ("protein", "protein"), ("fat", "fat"), ("carbs", "carbohydrates"))}
+    parsed = {n: (energy_kcal if n == "kcal" else first_number)(c) for n, c in facts.items()}
+    rows = items.select(
+        F.struct("section_ord", "page", "pos").alias("order"), F.col("item.ean").alias("id"), F.col("item.title").alias("title"), "section", F.col("item.category_id").alias("one"),
+        F.col("item.parent_category_id").alias("two"), from_kopecks(F.col("item.price")).alias("price"),
+        from_kopecks(discount_price(F.col("item.discount.old_price"), F.col("item.price"), F.col("item.discount.status"))).alias("oldPrice"), *[F.col(f"item.{c}").alias(c) for c in ("weight", "volume", "unit")],
+        *[v.alias(n) for n, v in parsed.items()], F.nullif("item.producer.trademark", F.lit("")).alias("brand"), pick_image(F.col("item.img")).alias("img"),
+        F.nullif("item.web_url", F.lit("")).alias("url"), in_stock_flag(F.col("item.in_stock")).alias("inStock"),
+    )
+    first = first_by(with_any_nutrient(rows), "id", "order")
+    placed = resolve_category(first, paths, "one", "two", "section")
+    return placed.withColumn("top", F.struct(F.col("top_id").alias("id"), F.col("top_title").alias("title"))).drop("one", "two", "section", "top_id", "top_title")
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot documents below a path; a corrupt document is a row of nulls and is left out."""
     return spark.read.schema(SNAPSHOT).option("multiLine", True).json(path).where("store is not null")
@@ -63,7 +103,7 @@ def raw_products(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("store", F.posexplode("products").alias("pos", "p")).select("store", "pos", "p.*")
 
 
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
+def first_by(df: DataFrame, key: str, order: str | Column) -> DataFrame:
     """The first row of each key; rows without a key are dropped."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return df.where(F.col(key).isNotNull()).withColumn("__rank", rank).where("__rank = 1").drop("__rank")

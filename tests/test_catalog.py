@@ -208,9 +208,11 @@ def test_alternatives_order_and_limit(spark):
 
 def test_category_paths(spark):
     nodes = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("x", "y", "X"), ("y", "x", "Y"), ("z", "gone", "Z")], "id string, parent_id string, title string")
-    paths = categories.category_paths(nodes, 5)
+    paths = categories.category_paths(nodes)
     got = {r.id: (r.path, r.top_id) for r in paths.collect()}
     assert got["c"] == ("A / B / C", "a") and got["a"] == ("A", "a") and got["z"] == ("Z", "z") and got["x"] == ("Y / X", "y")
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"t{i}") for i in range(40)], "id string, parent_id string, title string")
+    assert {r.id: (r.path.count(" / "), r.top_id) for r in categories.category_paths(deep).collect()} == {str(i): (i, "0") for i in range(40)}
     df = spark.createDataFrame([("c", None, None), ("?", "b", None), ("?", "?", "a"), (None, None, None)], "one string, two string, three string")
     assert [r.path for r in categories.resolve_category(df, paths, "one", "two", "three").collect()].count("Інше") == 1
 

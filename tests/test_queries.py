@@ -30,7 +30,7 @@ def rows(df):
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "part", "lineitem", "documents"):
+    for t in ("region", "nation", "customer", "part", "lineitem", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = rows(queries()[name](spark, SF).toPandas()), rows(con.execute(oracle_sql()[name]).df())
     assert got == want and want[1]
