@@ -3,6 +3,8 @@ import random
 import duckdb
 import pandas as pd
 
+from larder.llm import simhash
+
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "embeddings", "pages")
 
@@ -41,3 +43,22 @@ def same(spark_df, frame):
 
 def words(rng: random.Random, n: int, letters: str = "abcdeéñß") -> str:
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def jaccard_classes(rows, shingle, similarity):
+    sets = {i: set(simhash._hashes((t or "").encode(), shingle)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            shared = len(sets[a] & sets[b])
+            if a < b and (sets[a] == sets[b] or shared >= similarity * (len(sets[a]) + len(sets[b]) - shared)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}

@@ -4,16 +4,19 @@ import html
 import random
 import re
 import time
+import zlib
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from larder.llm import bloom, embed_dedup, html_blocks, langid, topk, train_blocks, url_filter
 
-from .helpers import SF, docs, oracle, same, words
+from .helpers import SF, docs, jaccard_classes, oracle, same, words
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -384,6 +387,48 @@ def test_pipeline(spark):
     assert sum(r.length for r in out if r.start == 0) > 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage once more in plain Python: fused languages, shared lines, Jaccard classes, and the pieces' tokens."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").orderBy("doc_id").collect()]
+    shared = "this very line stands in several documents of the corpus"
+    base = words(rng, 120).split()
+    for i in range(12):  # near copies, copies, shared lines, a very long text, nothing to read
+        w = [*base[: 40 + i % 3], *base[43:]]
+        rows.append((10_000 + i, " ".join(w) + ("\n" + shared if i % 4 == 0 else ""), rng.choice(["en", "de", None]), "host.example"))
+    rows += [(10_100, words(rng, 60_000), "en", "long.example"), (10_101, "123 456", "en", "a"), (10_102, None, "en", "a"), (10_103, rows[0][1], rows[0][2], "z"), (10_104, shared.upper() + " \t\nown words", "fr", None)]
+    df = docs(spark, rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    languages, scores = langid._fit(langid.labelled_sample(df))
+    fused = brute_fusion([(i, t, lang, s and s.lower()) for i, t, lang, s in rows], languages, scores)
+    kept = {i: (t or "", fused[i][0], s) for i, t, _, s in rows if fused[i][2]}
+    key = lambda line: line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    holders: dict[str, set[int]] = {}
+    for i, (t, _, _) in kept.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(i)
+    gone = {k: max(ids) for k, ids in holders.items() if len(ids) >= 3}
+    kept = {i: ("\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i), lang, s) for i, (t, lang, s) in kept.items()}
+    classes = jaccard_classes([(i, t) for i, (t, _, _) in kept.items()], 5, 0.8)
+    want = {i: v for i, v in kept.items() if classes[i] == i}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(want) and len(want) < len(rows) - 10
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces: dict[int, list] = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        assert (r.lang, r.source) == want[r.doc_id][1:]
+    for i, parts in pieces.items():
+        ids, at = np.array([*library.encode(want[i][0], add_special_tokens=False).ids, 0], "<u4"), 0
+        for p in sorted(parts, key=lambda p: p.start):
+            assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes()) and p.offset + p.length <= 1024
+            at += p.length
+        assert at == len(ids)
+
+
 def test_pipeline_odd(spark):
     import corpus_pipeline
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from larder.llm import bpe, license_scan, line_dedup, packing, simhash
 from larder.llm.common import Workspace, join_by_key
 
-from .helpers import SF, docs, oracle, same, words
+from .helpers import SF, docs, jaccard_classes, oracle, same, words
 
 LONG = "A line that is long enough to count here."
 
@@ -332,25 +332,6 @@ def test_license_names(spark):
     assert {r.doc_id: r.licenses for r in got} == {i: name for i, (_, name) in enumerate(NOTICES)}
 
 
-def jaccard_classes(rows, shingle, similarity):
-    sets = {i: set(simhash._hashes((t or "").encode(), shingle)) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            shared = len(sets[a] & sets[b])
-            if a < b and (sets[a] == sets[b] or shared >= similarity * (len(sets[a]) + len(sets[b]) - shared)):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: find(i) for i in ids}
-
-
 def test_near_duplicates(spark):
     rng = random.Random(8)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "x" * 100_000)]
