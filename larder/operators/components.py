@@ -11,16 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Edges folded at a time.
+#: Edges folded at a time, and the most that one task folds alone (16 MB).
 CHUNK = 1 << 20
 
 
-def folded(edges: DataFrame, group: str) -> DataFrame:
-    """(node, component, chunk): the classes of the edges (src, dst long) of each group, as far as one task sees them.
-
-    Groups, of which no class spans two, are dealt to tasks; a task folds CHUNK edges at a time. If all chunks are 0, each
-    component is complete and the smallest node of its class; else the rows are edges to go on from.
-    """
+def _folded(edges: DataFrame) -> DataFrame:
+    """(node, component, chunk): the classes of the edges (src, dst long) that a task sees, CHUNK edges at a time."""
 
     def fold(stream):
         chunk, held, n = 0, [], 0
@@ -41,18 +37,32 @@ def folded(edges: DataFrame, group: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root]), pa.array(np.full(len(nodes), chunk))], ["node", "component", "chunk"])
                 chunk, held, n = chunk + 1, [], 0
 
-    return edges.repartition(group).select("src", "dst").mapInArrow(fold, "node long, component long, chunk long")
+    return edges.select("src", "dst").mapInArrow(fold, "node long, component long, chunk long")
+
+
+def folded(edges: DataFrame, group: str) -> DataFrame:
+    """(node, component, chunk) of edges (src, dst long and the group) in groups of which no class spans two.
+
+    Groups are dealt to tasks. If all chunks are 0, each component is complete and the smallest node of its class; else
+    the rows are edges to go on from.
+    """
+    return _folded(edges.repartition(group))
 
 
 def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None], label: str = "components") -> DataFrame:
     """(node, component) of every node in ``edges`` (src, dst long); component is the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours (a partial aggregate, so a hub costs each map task one
-    row) and then follows the label's own label, which halves the remaining path lengths. Rounds go through ``write``,
-    the one before is dropped; nothing but a change flag reaches the driver. An edge table with repeated rows, loops or
-    no rows is fine; null ends are ignored.
+    Each task first folds its own edges to one edge a node. If CHUNK edges or fewer are left, one task folds these; else
+    they go through rounds: each takes the smallest label among the neighbours (a partial aggregate, so a hub costs each
+    map task one row) and then follows the label's own label, which halves the remaining path lengths. Rounds go through
+    ``write``, the one before is dropped; nothing but a change flag reaches the driver. An edge table with repeated rows,
+    loops or no rows is fine; null ends are ignored.
     """
     edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    edges = write(_folded(edges).select(F.col("node").alias("src"), F.col("component").alias("dst")), f"{label}-folded")
+    if edges.count() <= CHUNK:
+        return write(_folded(edges.repartition(1)).select("node", "component"), f"{label}-0")
+    edges = edges.where("src != dst")
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = write(both.distinct(), f"{label}-edges")
     labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))

@@ -265,3 +265,26 @@ def test_food_sections(spark):
     rows = [("1", "m-iaso-12", None, "М"), ("2", "dytiachi-tovary-3", None, "Д"), ("3", "x", "2", "Дитяче Харчування"), ("4", "y", "2", "Іграшки"), ("5", "posud", None, "П")]
     df = spark.createDataFrame(rows, "id string, slug string, parent_id string, title string")
     assert {r.id for r in snapshots.food_sections(df).collect()} == {"1", "3"}
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 40, 3])
+def test_components(spark, monkeypatch, chunk):
+    import random
+
+    from larder.operators import components
+    from larder.sources.storage import Scratch
+
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(5)
+    pairs = [(10 * g + a, 10 * g + b) for g in range(20) for a, b in [(rng.randrange(10), rng.randrange(10)) for _ in range(rng.randrange(9))]]
+    pairs += [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(30)] + [(5000, 5000)]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame([*pairs, *pairs[:50], (None, 1), (7, None)], "src long, dst long")
+    scratch = Scratch(spark, "components")
+    got = [tuple(r) for r in components.connected_components(edges, scratch.write, scratch.drop).collect()]
+    assert sorted(got) == sorted(root.items())
+    assert components.connected_components(edges.limit(0), scratch.write, scratch.drop, "none").count() == 0
