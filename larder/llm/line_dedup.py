@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import pairwise
 
@@ -53,14 +54,20 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.held: set[str] = set()
 
-    def _write(self, entries: DataFrame) -> str:
-        name = f"larder_run_{uuid.uuid4().hex}"
+    @contextmanager
+    def ordered(self) -> Iterator[None]:
+        """What is planned here takes the runs as sorted."""
         was = self.spark.conf.get(self.ORDERED)
         self.spark.conf.set(self.ORDERED, "true")
         try:
-            entries.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", self.space.path(name)).saveAsTable(name)
+            yield
         finally:
             self.spark.conf.set(self.ORDERED, was)
+
+    def _write(self, entries: DataFrame) -> str:
+        name = f"larder_run_{uuid.uuid4().hex}"
+        with self.ordered():
+            entries.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", self.space.path(name)).saveAsTable(name)
         self.held.add(name)
         return name
 
@@ -69,10 +76,13 @@ class LineRuns:
         self.space.drop(name)
         self.held.discard(name)
 
-    def _merge(self, one: str, two: str) -> str:
+    def _added(self, one: str, two: str) -> DataFrame:
         a, b = (self.spark.table(x).select("h", F.col("n").alias(f"n{i}"), F.col("top").alias(f"top{i}")) for i, x in enumerate((one, two)))
         added = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
-        name = self._write(a.join(b.hint("merge"), "h", "full").select("h", added.alias("n"), F.greatest("top0", "top1").alias("top")))
+        return a.join(b.hint("merge"), "h", "full").select("h", added.alias("n"), F.greatest("top0", "top1").alias("top"))
+
+    def _merge(self, one: str, two: str) -> str:
+        name = self._write(self._added(one, two))
         self._drop(one)
         self._drop(two)
         return name
@@ -97,9 +107,9 @@ class LineRuns:
 
     def condemned(self) -> DataFrame:
         """(h, n, top) of lines seen in at least ``min_docs`` documents; top is the document that keeps them."""
-        last = reduce(self._merge, [x for level in self.levels for x in level])
-        self.levels = [[last]]
-        return self.spark.table(last).where(F.col("n") >= self.min_docs)
+        *middle, last = [x for level in reversed(self.levels) for x in level]
+        entries = self._added(reduce(self._merge, middle), last) if middle else self.spark.table(last)
+        return entries.where(F.col("n") >= self.min_docs)
 
     def close(self) -> None:
         for name in list(self.held):
@@ -107,7 +117,7 @@ class LineRuns:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 3, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Drop lines that many documents share, except in the largest document holding them.
 
@@ -153,7 +163,8 @@ def drop_repeated_lines(
                 batch = lines if low is None else lines.where(F.col("doc_id") > low)
                 batch = batch if high is None else batch.where(F.col("doc_id") <= high)
                 runs.absorb(batch.groupBy("h").agg(seen.alias("n"), F.max("doc_id").alias("top")))
-            condemned = space.write(runs.condemned(), "condemned")
+            with runs.ordered():  # far fewer rows than lines
+                condemned = space.write(runs.condemned().coalesce(max(1, runs.buckets // 8)), "condemned")
         finally:
             runs.close()
         met = join_by_key(lines, condemned, ["h"], "n", total).where(F.col("doc_id") < F.col("top"))

@@ -376,8 +376,8 @@ def near_duplicate_classes(
 
     Two SimHash fingerprints are taken of the distinct shingles. Rows of which either agrees in ``scheme`` segments meet
     in a cell, where the bit-sliced comparison finds those within ``radius`` bits, and ``second`` bits of the other
-    fingerprint. First each row has its nearest of smaller id verified by whole shingle sets, which joins most of a
-    group at a cost linear in its size. Then all rows that met any are compared across classes by an
+    fingerprint. First each row has its nearest of smaller id verified by whole shingle sets, then the nearest of each
+    cell where that could still join two classes: that joins most of a group at a cost linear in its size. Then all rows that met any are compared across classes by an
     exact join on their rarest shingles and verified, so no partner is left out. Texts with both fingerprints equal
     count as equal. A link is missed only where neither fingerprint brings one of its texts near to any other
     (measured recall in the README).
@@ -394,22 +394,29 @@ def near_duplicate_classes(
 
     swapped = reps.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
     met = [link_fingerprints(x, space, radius, cell_rows, scheme, second) for x in (reps, swapped)]
-    # the nearest of smaller id; a row that is only met by others keeps the edge to itself
-    closest = F.min(F.struct((F.col("src") == F.col("dst")).alias("self"), "apart", "dst")).alias("to")
-    near = space.write(met[0].unionByName(met[1]).groupBy("src").agg(closest).select("src", "to.dst"), "near")
-    ends = near.select(F.col("src").alias("doc_id"))
-    sets = shingle_sets(known, shingle, "doc_id", "text", filled(ends.select(F.xxhash64("doc_id")), near.count()))
+    near = space.write(met[0].unionByName(met[1]).groupBy("src", "dst").agg(F.min("apart").alias("apart")), "near")
+    ends = near.select("src").distinct()
+    ends = space.write(ends, "ends")
+    ends = ends.withColumnRenamed("src", "doc_id")
+    sets = shingle_sets(known, shingle, "doc_id", "text", filled(ends.select(F.xxhash64("doc_id")), ends.count()))
     sets = space.write(sets.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
 
     def classed(links: DataFrame, label: str) -> DataFrame:
         classes = connected_components(links, space, label)
         return reps.join(classes, reps["rep"] == classes["node"], "left").select(*reps.columns, F.coalesce("component", "rep").alias("component"))
 
-    links = space.write(_similar(near.where("src != dst"), sets, similarity), "links")
-    firsts = classed(links, "first").select(F.col("rep").alias("doc_id"), "component")
-    placed = space.write(sets.join(firsts, "doc_id"), "placed")
+    near = near.where("src != dst")
+    nearest = near.groupBy("src").agg(F.min(F.struct("apart", "dst")).alias("to")).select("src", "to.dst")
+    links = space.write(_similar(nearest, sets, similarity), "links")
+    # of the other pairs only those that could still join two classes
+    firsts = classed(links, "first").select("rep", "component")
+    one, two = (firsts.select(F.col("rep").alias(c), F.col("component").alias(n)) for c, n in (("src", "a"), ("dst", "b")))
+    open_ = space.write(near.join(one, "src").join(two, "dst").where("a != b").select("src", "dst"), "open")
+    links = links.unionByName(space.write(_similar(open_, sets, similarity), "more"))
+    seconds = classed(links, "second").select(F.col("rep").alias("doc_id"), "component")
+    placed = space.write(sets.join(seconds, "doc_id"), "placed")
     rest = space.write(prefix_pairs(placed, similarity, space), "rest")
-    links = links.unionByName(_similar(rest, sets, similarity))
+    links = links.unionByName(space.write(_similar(rest, sets, similarity), "last"))
     named = classed(links, "classes").select("fp", "fp2", F.col("component").alias("component_id"))
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
 

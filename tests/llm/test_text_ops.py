@@ -51,13 +51,10 @@ def test_line_runs_are_neither_shuffled_nor_sorted_again(spark):
     entries = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("h"), (F.col("id") % 5).alias("n"), F.col("id").alias("top"))
     entries = entries.groupBy("h").agg(F.max("n").alias("n"), F.max("top").alias("top"))
     runs.absorb(entries)
-    spark.conf.set(runs.ORDERED, "true")
-    try:
+    with runs.ordered():
         plan = runs.against(entries)._jdf.queryExecution().executedPlan().toString()
         # both belong to the batch
         assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Bucketed: true" in plan
-    finally:
-        spark.conf.set(runs.ORDERED, "false")
     assert runs.against(entries).count() == entries.where("n < 3").count()
     runs.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("larder_run")]
