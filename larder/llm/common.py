@@ -12,7 +12,7 @@ __all__ = ["Workspace", "bounded_batches", "join_by_key", "keyed_vectors", "read
 #: A key is hot with a SHARE-th of all rows or more, so there are at most SHARE hot keys, whatever the rows.
 SHARE = 4096
 #: Texts are long: an Arrow batch of the session's default size would take 64 MB in the JVM and again in Python.
-BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
+BATCH_BYTES, DEFAULT_BYTES = "2m", "67108864b"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

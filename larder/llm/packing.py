@@ -25,7 +25,7 @@ from larder.llm.common import Workspace, bounded_batches, read
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 #: How a byte-level vocabulary splits text into words, numbers, signs and white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than the space and the line end.
