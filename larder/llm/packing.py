@@ -24,12 +24,11 @@ from larder.llm.common import Workspace, bounded_batches, read
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 100_000
 #: How a byte-level vocabulary splits text into words, numbers, signs and white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space other than the space and the line end.
-OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What only the vocabulary's own library encodes: letters beyond Latin and white space other than the space and the line
+#: end, where the Unicode tables of the two libraries could differ; what may be a special token; very long words.
+OTHERS = re.compile("[\u0250-\U0010ffff\t\x0b-\r\x1c-\x1f\x85\xa0]|<\\||[^ \n]{1000}")
 
 
 def same_by_rank(file: dict) -> tiktoken.Encoding | None:
@@ -44,6 +43,7 @@ def same_by_rank(file: dict) -> tiktoken.Encoding | None:
     left = len(vocab) - len(made)
     special = {x["content"] for x in file.get("added_tokens", ())}
     plain &= all(a < b for a, b in zip(made, made[1:], strict=False)) and all(vocab.get(s, left) < made[0] for s in symbols)
+    plain &= all("<|" in x for x in special)  # as OTHERS takes for granted
     if not plain or left != len(symbols) + len(special.intersection(vocab)):
         return None
     byte_of = {s: b for b, s in enumerate(symbols)}
@@ -52,48 +52,26 @@ def same_by_rank(file: dict) -> tiktoken.Encoding | None:
 
 
 class ByteBpe:
-    """A byte-level BPE vocabulary file. Words between single spaces and line ends are encoded once and remembered:
-    the vocabulary's pattern never joins across such a gap, and the space goes to the word after it."""
+    """A byte-level BPE vocabulary file."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_rank = same_by_rank(json.load(f))
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        # beyond Latin, the Unicode tables of the two libraries could differ
-        others = [w for w in words if self.by_rank is None or not (w.isascii() or max(w) < "\u0250")]
-        self.known.update(zip(others, self._ids(others), strict=True))
-        for w in words.difference(others):
-            self.known[w] = array("I", self.by_rank.encode_ordinary(w)).tobytes()
-
-    @staticmethod
-    def _words(t: str) -> list[str] | None:
-        """Line ends, first words of lines, and each other word with its space; None if white space is anything but
-        single spaces and line ends between words, or a special token may be there: the library takes such a text whole."""
-        if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t or not t or t[0] in " \n" or t[-1] in " \n" or OTHER_SPACE.search(t):
-            return None
-        return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
     def encode(self, texts: list[str], together: int = 256) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), together):
-            part = texts[at : at + together]
-            split = [self._words(t) for t in part]
-            words = set().union(*[x for x in split if x])
-            missing = words.difference(self.known)
-            if missing:
-                self._learn(words if len(self.known) + len(missing) > CACHED_WORDS else missing)
-            find = self.known.__getitem__
-            out += [b"".join(map(find, x)) if x else self._ids([t])[0] if t else b"" for t, x in zip(part, split, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        others = []
+        for i, text in enumerate(texts):
+            if self.by_rank is None or OTHERS.search(text):
+                others.append(i)
+            elif text:
+                out[i] = array("I", self.by_rank.encode_ordinary(text)).tobytes()
+        for at in range(0, len(others), together):
+            part = others[at : at + together]
+            for i, found in zip(part, self.library.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, "<u4").tobytes()
         return out
 
 
