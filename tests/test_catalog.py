@@ -288,3 +288,26 @@ def test_components(spark, monkeypatch, chunk):
     got = [tuple(r) for r in components.connected_components(edges, scratch.write, scratch.drop).collect()]
     assert sorted(got) == sorted(root.items())
     assert components.connected_components(edges.limit(0), scratch.write, scratch.drop, "none").count() == 0
+
+
+def test_stream_keeps_the_newest_document(spark, tmp_path):
+    import json
+
+    from larder.streaming.snapshots import watch_snapshots
+
+    def arrive(name, date, price):
+        doc = {"store": "auchan", "generatedAt": date, "products": [{"id": "a", "title": "a", "price": price, "kcal": 1.0}]}
+        (tmp_path / "in" / name).write_text(json.dumps(doc))
+
+    def price():
+        watch_snapshots(spark, str(tmp_path / "in"), str(tmp_path / "target"), str(tmp_path / "cp"), ["auchan"]).awaitTermination(60)
+        return [r.price for r in spark.read.parquet(str(tmp_path / "target")).collect()]
+
+    (tmp_path / "in").mkdir()
+    arrive("1.json", "2026-01-02T00:00:00Z", 2.0)
+    arrive("2.json", "2026-01-01T00:00:00Z", 1.0)
+    assert price() == [2.0]
+    arrive("3.json", "2025-12-31T00:00:00Z", 0.5)
+    assert price() == [2.0]
+    arrive("4.json", "2026-01-03T00:00:00Z", 3.0)
+    assert price() == [3.0]
