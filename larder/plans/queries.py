@@ -13,6 +13,7 @@ from larder.plans import catalog, expected, raw_queries
 from larder.plans.request import PRESETS, CatalogQuery
 from larder.sources.catalog import PRODUCTS_SQL, derived_products
 from larder.sources.snapshots import first_by
+from larder.sources.storage import spread
 
 ANY = CatalogQuery(store="all", preset=None, in_stock_only=False, hide_pets=False)
 
@@ -71,7 +72,7 @@ def dedupe_first(spark, sf_dir):
 
 
 def fold_tokens(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(tokens_col(F.col("text"))).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens_col(F.col("text")), " ")).alias("tokens_md5"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.size(tokens_col(F.col("text"))).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens_col(F.col("text")), " ")).alias("tokens_md5"))
 
 
 def vocab_counts(spark, sf_dir):
