@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import Workspace, read
+from larder.llm.common import Workspace, read, spread
 from larder.llm.langid import keep_identified
 from larder.llm.line_dedup import drop_repeated_lines
 from larder.llm.packing import pack_documents
@@ -42,7 +42,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = space.write(stage(spark, docs, sf_dir), name)
     return docs

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from larder.llm.common import read
+from larder.llm.common import read, spread
 
 NEVER = np.int64(1) << 40
 #: Words above this many bytes are encoded one at a time.
@@ -370,4 +370,4 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digest: boo
 def op9_bpe(spark, sf_dir):
     import public_tokenizers
 
-    return _encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id", "text", digest=True)
+    return _encoded(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"), "doc_id", "text", digest=True)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.sources.storage import Scratch as Workspace
+from larder.sources.storage import spread
 
-__all__ = ["Workspace", "bounded_batches", "join_by_key", "keyed_vectors", "read"]
+__all__ = ["Workspace", "bounded_batches", "join_by_key", "keyed_vectors", "read", "spread"]
 
 #: A key is hot with a SHARE-th of all rows or more, so there are at most SHARE hot keys, whatever the rows.
 SHARE = 4096

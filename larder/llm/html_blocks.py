@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bounded_batches, read
+from larder.llm.common import bounded_batches, read, spread
 
 PATH_BINS, WORD_BINS = 96, 32
 NUMBERS = 10
@@ -385,4 +385,4 @@ def main_text(pages: DataFrame, model: BiLstm | None = None, id_col: str = "page
 
 
 def op7_html_text(spark, sf_dir):
-    return main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return main_text(spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"))).select("page_id", "url", "text", "n_chars")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Workspace, bounded_batches, join_by_key, read
+from larder.llm.common import Workspace, bounded_batches, join_by_key, read, spread
 
 #: Hashed letter trigrams.
 BUCKETS = 1 << 15
@@ -202,7 +202,7 @@ def url_host(url):
 
 
 def op1_language_id(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     rows = pages.select("page_id", F.col("html").alias("text"), F.lit(None).cast("string").alias("declared"), url_host(F.col("url")).alias("host"))
     return fuse(rows, labelled_sample(read(spark, sf_dir, "documents")), markup=True)
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from larder.llm.bpe import byte_symbols
-from larder.llm.common import Workspace, bounded_batches, read
+from larder.llm.common import Workspace, bounded_batches, read, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 
@@ -242,4 +242,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
 def op3_packing(spark, sf_dir):
     import public_tokenizers
 
-    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from larder.llm.bloom import BlockedBloom, filled
-from larder.llm.common import Workspace, bounded_batches, join_by_key, read
+from larder.llm.common import Workspace, bounded_batches, join_by_key, read, spread
 from larder.llm.components import connected_components
 
 BITS = 64
@@ -429,4 +429,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
 
 def op10_simhash(spark, sf_dir):
-    return simhash_classes(read(spark, sf_dir, "documents"))
+    return simhash_classes(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
