@@ -24,7 +24,7 @@ def spread(table: DataFrame) -> DataFrame:
     """The rows of a scan, dealt to all cores if it has splits for half of them or fewer: for work that costs far more than
     moving the rows.
 
-    Spark cuts a scan into splits of 4 MB or more and about as many as cores, so only tables below some 4 MB a core are
+    Spark cuts a scan into splits of 4 MB or more and about as many as cores, so only tables below some 2 MB a core are
     moved, which may be one row group that one task would read.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
