@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embed_dedup, html_blocks, langid, license_scan, line_dedup, packing, simhash, topk, url_filter
+from larder.llm import bpe, codebooks, embed_dedup, html_blocks, langid, license_scan, line_dedup, negatives, packing, quality, simhash, topk, url_filter
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_embed_dedup": embed_dedup.op8_embed_dedup,
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
+        "op11_quality": quality.op11_quality,
+        "op12_vector_codes": codebooks.op12_vector_codes,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql():
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op8_embed_dedup": embed_dedup.OP8_SQL,
+        "op11_quality": quality.OP11_SQL,
+        "op12_vector_codes": codebooks.OP12_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
     }
