@@ -28,7 +28,14 @@ WRONG = 0.1
 NOT_LETTER = re.compile(r"[\W\d_]+")
 SKIPPED = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)")
 TAG = re.compile(r"<[^>]*>?")
-DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+#: An html tag reaches to the next angle bracket, and blanks are never given back: linear whatever the page.
+HTML_TAG = re.compile(r"(?i)<html\b([^<>]*)")
+LANG = re.compile(r"(?i)\blang\s*+=\s*+[\"']?\s*+([a-z]{2,8})")
+
+
+def declared_language(page: str) -> str | None:
+    """What the first html element with a lang attribute declares."""
+    return next((m[1] for tag in HTML_TAG.finditer(page) if (m := LANG.search(tag[1]))), None)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -116,8 +123,8 @@ def fuse(rows: DataFrame, sample: DataFrame, markup: bool = False, min_posterior
             for text, said in zip(texts, declared, strict=True):
                 text = text or ""
                 if markup:
-                    if said is None and (m := DECLARED.search(text)):
-                        said = m[1]
+                    if said is None:
+                        said = declared_language(text)
                     text = html.unescape(TAG.sub(" ", SKIPPED.sub(" ", text)))
                 codes = trigrams(text)
                 total = scores[codes].sum(axis=0, dtype=np.int64) if n_lang else np.zeros(0, np.int64)

@@ -445,3 +445,17 @@ def test_pipeline_odd(spark):
     assert corpus_pipeline.STAGES[3][1](spark, d, SF).count() == 5
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs(spark, []).limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<html ", "<html lang ", "<html lang= ", "<!--", "<script ", "</script ", "<", "lang=", "lang =\t"])
+def test_declared_language_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    langid.declared_language(page + " " * 200_000)
+    langid.TAG.sub(" ", langid.SKIPPED.sub(" ", page))
+    assert time.perf_counter() - start < 2
+
+
+def test_declared_language():
+    cases = {"<html lang=de>": "de", '<p><HTML class="x" lang = "fr-CH">': "fr", "<html><html lang='es'>": "es", "<html lang=>": None, "<htmlx lang=de>": None, "<html lang <p lang=de>": None, "": None, "<html\nxml:lang=en": "en"}
+    assert {k: langid.declared_language(k) for k in cases} == cases
