@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,15 @@ def next_sort(key: str, current: tuple[str, str]) -> tuple[str, str]:
     return key, "asc" if key in ASCENDING else "desc"
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
-    """Number all rows in order: they are written in sorted ranges, and only the ranges' sizes reach the driver.
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, columns: Sequence[str] | None = None) -> DataFrame:
+    """Number all rows in order: they are written in sorted ranges, and only the ranges' sizes reach the driver. Of a row
+    only ``columns`` (all, if not given) and its place are written; nothing else but the order's own columns is shuffled.
 
     The order must leave no ties for the numbers to be the same each time. The result is a written table's rows.
     """
     spark = df.sparkSession
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
-    rows = Scratch(spark, "order").write(dealt, "ranges")
+    rows = Scratch(spark, "order").write(dealt.select(*(columns or df.columns), "__row"), "ranges")
     part, local = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))  # as that function builds its ids
     sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect())
     firsts, at = [], start
@@ -54,6 +57,6 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> D
     return rows.withColumn("__part", part).join(F.broadcast(firsts), "__part").withColumn(name, F.col("__first") + local).drop("__part", "__first", "__row")
 
 
-def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    """All rows with their place from 1. For a page of them, page() is cheaper."""
-    return numbered(df, order, "rank")
+def ranked(df: DataFrame, order: list[Column], columns: Sequence[str] | None = None) -> DataFrame:
+    """All rows, or ``columns`` of them, with their place from 1. For a page of them, page() is cheaper."""
+    return numbered(df, order, "rank", columns=columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +45,27 @@ def filtered(products: DataFrame, request: CatalogQuery, index: SearchIndex | No
     return rows
 
 
-def run(products: DataFrame, request: CatalogQuery, index: SearchIndex | None = None, compared: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows in order, hits by category). With a limit the rows are a distributed top-k."""
-    rows = filtered(products, request, index, compared)
-    hits = category_hits(rows)
-    if request.category != "all":
-        rows = rows.where(F.col("cat") == request.category)
-    order = sort_columns(*request.sort, request.basis)
-    return (ranked(rows, order) if limit is None else page(rows, order, limit)), hits
+@dataclass(frozen=True)
+class Answer:
+    """What a request finds. Nothing is sorted or written before rows() asks for it, so a facet costs a filter and a count."""
+
+    found: DataFrame
+    request: CatalogQuery
+
+    def hits(self) -> DataFrame:
+        """(cat, hits) over all categories."""
+        return category_hits(self.found)
+
+    def rows(self, limit: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """The rows of the requested category in order: with a limit a distributed top-k, else all, or ``columns`` of them,
+        with their rank."""
+        chosen = self.found if self.request.category == "all" else self.found.where(F.col("cat") == self.request.category)
+        order = sort_columns(*self.request.sort, self.request.basis)
+        if limit is None:
+            return ranked(chosen, order, columns)
+        first = page(chosen, order, limit)
+        return first.select(*columns) if columns else first
+
+
+def run(products: DataFrame, request: CatalogQuery, index: SearchIndex | None = None, compared: DataFrame | None = None) -> Answer:
+    return Answer(filtered(products, request, index, compared), request)

@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from larder.functions import metrics
-from larder.functions.text import DROPPED, FOLDED_FROM, FOLDED_TO, fold, tokens_col
+from larder.functions.text import fold, tokens_col
 from larder.operators import alternatives, categories, crossstore, facets, filters, ordering, search
-from larder.plans import catalog, expected, raw_queries
+from larder.plans import catalog, raw_queries, search_queries
+from larder.plans.expressions import FOLD, TOKENS
 from larder.plans.request import PRESETS, CatalogQuery
 from larder.sources.catalog import PRODUCTS_SQL, derived_products
 from larder.sources.snapshots import first_by
@@ -17,14 +18,11 @@ from larder.sources.storage import spread
 
 ANY = CatalogQuery(store="all", preset=None, in_stock_only=False, hide_pets=False)
 
-_CHARS = (FOLDED_FROM + DROPPED).replace("'", "''")
 PER100 = "CASE WHEN price > 0 THEN CASE WHEN unit IN ('kg', 'l') THEN price / 10 ELSE price * 100 / (CASE WHEN weight > 0 THEN weight WHEN volume > 0 THEN volume END) END END"
 DENSITY = "CASE WHEN kcal > 0 THEN protein / kcal * 100 END"
 PER_PROTEIN = f"CASE WHEN protein > 0 THEN ({PER100}) * 100 / protein END"
 PLAUSIBLE = """CASE WHEN kcal IS NULL OR protein IS NULL OR fat IS NULL OR carbs IS NULL THEN true WHEN kcal < 0 OR protein < 0 OR fat < 0 OR carbs < 0 THEN false
   WHEN kcal < 5 THEN true ELSE abs(protein * 4 + fat * 9 + carbs * 4 - kcal) / kcal <= 0.5 END"""
-FOLD = f"translate(lower({{}}), '{_CHARS}', '{FOLDED_TO}')"
-TOKENS = "regexp_extract_all(" + FOLD + ", '[a-z0-9а-яёіїєґ]+')"
 
 
 def _with(body: str) -> str:
@@ -37,7 +35,7 @@ def _rows_sql(where: str, key: str, down: bool) -> str:
 
 
 def _rows(request: CatalogQuery):
-    return lambda spark, sf_dir: catalog.run(derived_products(spark, sf_dir), request)[0].select("id", "title", "rank")
+    return lambda spark, sf_dir: catalog.run(derived_products(spark, sf_dir), request).rows(columns=("id", "title")).select("id", "title", "rank")
 
 
 def metrics_all(spark, sf_dir):
@@ -50,7 +48,7 @@ def labels(spark, sf_dir):
 
 
 def facet_counts(spark, sf_dir):
-    return catalog.run(derived_products(spark, sf_dir), replace(ANY, hide_pets=True))[1]
+    return catalog.run(derived_products(spark, sf_dir), replace(ANY, hide_pets=True)).hits()
 
 
 def category_summary(spark, sf_dir):
@@ -63,7 +61,7 @@ def category_blocks(spark, sf_dir):
     summary = facets.category_summary(p)
     dimension = summary.select(F.col("cat").alias("id"), F.col("cat").alias("title"), "count", "counts", F.lit(0).alias("cat_ord"))
     shown = filters.visible_categories(dimension, "north", True)
-    hits = catalog.run(p, replace(ANY, store="north", in_stock_only=True))[1]
+    hits = catalog.run(p, replace(ANY, store="north", in_stock_only=True)).hits()
     return facets.category_blocks(hits, shown).select("id", "hits")
 
 
@@ -238,7 +236,7 @@ QUERIES = {
 }
 
 
-QUERIES |= expected.QUERIES
+QUERIES |= search_queries.QUERIES
 QUERIES |= raw_queries.queries_sql(lambda body: _with_part(_ALT_SQL, body), lambda body: _with_part(_MATCH_SQL, body))
 
 

@@ -46,7 +46,7 @@ def _ranges(given: Any = None) -> dict[str, tuple[str, str]]:
 
 @dataclass(frozen=True)
 class CatalogQuery:
-    store: str = "auchan"
+    store: str = "all"
     query: str = ""
     category: str = "all"
     brand: str | None = None
@@ -64,7 +64,7 @@ class CatalogQuery:
     sort: tuple[str, str] = ("pricePerProtein", "asc")
 
     @staticmethod
-    def landing(store: str = "auchan") -> CatalogQuery:
+    def landing(store: str) -> CatalogQuery:
         return CatalogQuery(store=store, preset=None).with_preset("cheap-protein")
 
     def with_preset(self, key: str) -> CatalogQuery:

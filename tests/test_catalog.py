@@ -81,7 +81,7 @@ def test_nutrition(spark):
 
 
 def test_requests():
-    q = CatalogQuery.landing()
+    q = CatalogQuery.landing("auchan")
     assert q.min_density == "6" and q.sort == ("pricePerProtein", "asc") and q.bounds("protein") == (8.0, None)
     assert q.with_preset("cheap-protein").min_density == "" and q.with_preset("lean").bounds("fat") == (None, 5.0)
     assert q.active_filters() == 2 and CatalogQuery(in_stock_only=False, price=("1", "2,5"), preset=None).active_filters() == 3
@@ -106,10 +106,11 @@ def test_history():
 def test_filters_reject_nulls(spark):
     p = products(spark, {"kcal": 50.0}, {"kcal": None}, {"kcal": 150.0}, {"kcal": 80.0, "cat": "pets"}, {"kcal": 80.0, "inStock": False})
     q = CatalogQuery(store="all", preset=None, ranges={**CatalogQuery().ranges, "kcal": ("50", "100")}, sort=("kcal", "asc"))
-    rows, hits = catalog.run(p, q)
+    answer = catalog.run(p, q)
+    rows, hits = answer.rows(), answer.hits()
     assert [r.id for r in rows.collect()] == ["p0"] and {r.cat: r.hits for r in hits.collect()} == {"dairy-eggs": 1}
-    assert [r.id for r in catalog.run(p, CatalogQuery(store="all", preset=None, category="gone"))[0].collect()] == []
-    assert [r.id for r in catalog.run(p, q, limit=1)[0].collect()] == ["p0"]
+    assert [r.id for r in catalog.run(p, CatalogQuery(store="all", preset=None, category="gone")).rows().collect()] == []
+    assert [r.id for r in catalog.run(p, q).rows(limit=1).collect()] == ["p0"]
 
 
 def test_summary(spark):
