@@ -10,38 +10,32 @@ from larder.sources.storage import Scratch
 UNKNOWN = ("other", "Інше")
 
 
-#: Levels climbed between two looks at what is still open.
-CLIMB = 4
-
-
 def category_paths(nodes: DataFrame) -> DataFrame:
     """(id, path, top_id, top_title) of a parent-pointer table (id, parent_id, title); roots have no or an unknown parent.
 
-    Each round joins every open node with its parent; a chain ends at a root, or at a node met before (a cycle). A row
-    carries the ids it has met, and after each CLIMB rounds the rows are written and the finished ones set aside, so
-    trees of any depth are followed to their top.
+    Pointer doubling: in each round an open node joins what the node above its path has climbed so far, so a path of d
+    nodes takes about log2(d) rounds, each one join over a written table. A path ends at a root, or before the first node
+    that it has already (a cycle). A path with a node without a title is null.
     """
     scratch = Scratch(nodes.sparkSession, "paths")
     base = nodes.select("id", "parent_id", "title")
-    parent = base.select(F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("title").alias("p_title"))
-    walk = base.select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.array("id").alias("met"), F.col("id").alias("top_id"), F.col("title").alias("top_title"))
-    done, turn = None, 0
-    while True:
-        for _ in range(CLIMB):
-            joined = walk.join(parent, (walk["up"] == parent["p_id"]) & ~F.array_contains(walk["met"], parent["p_id"]), "left")
-            climbs = F.col("p_id").isNotNull()
-            walk = joined.select(
-                "id", F.when(climbs, F.col("p_parent")).alias("up"), F.when(climbs, F.concat("p_title", F.lit(" / "), "path")).otherwise(F.col("path")).alias("path"),
-                F.when(climbs, F.concat("met", F.array("p_id"))).otherwise(F.col("met")).alias("met"),
-                F.coalesce("p_id", "top_id").alias("top_id"), F.when(climbs, F.col("p_title")).otherwise(F.col("top_title")).alias("top_title"),
-            )
-        walk = scratch.write(walk, f"walk-{turn}")
+    parents = base.select(F.col("id").alias("up"))
+    # climbed: the nodes from the own one upwards; up: the one above them
+    climbed = F.array(F.struct("id", "title")).alias("climbed")
+    walk = scratch.write(base.join(parents, (base["parent_id"] == parents["up"]) & (base["parent_id"] != base["id"]), "left").select("id", "up", climbed), "walk-0")
+    turn = 0
+    while not (open_ := walk.where("up is not null")).isEmpty():
+        above = walk.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("climbed").alias("over"))
+        met = F.arrays_overlap(F.col("over.id"), F.col("climbed.id"))
+        again = F.array_min(F.transform(F.array_intersect(F.col("over.id"), F.col("climbed.id")), lambda x: F.array_position(F.col("over.id"), x)))
+        longer = open_.join(above, "up").select(
+            "id", F.when(~met, F.col("next")).alias("up"), F.concat("climbed", F.when(met, F.slice("over", F.lit(1), (again - 1).cast("int"))).otherwise(F.col("over"))).alias("climbed")
+        )
         turn += 1
-        ended = walk.where("up is null").select("id", "path", "top_id", "top_title")
-        done = ended if done is None else done.unionByName(ended)
-        walk = walk.where("up is not null")
-        if walk.isEmpty():
-            return done
+        walk = scratch.write(walk.where("up is null").unionByName(longer), f"walk-{turn}")
+    top, titles = F.element_at("climbed", -1), F.reverse(F.col("climbed.title"))
+    path = F.when(~F.exists(titles, lambda t: t.isNull()), F.array_join(titles, " / "))
+    return walk.select("id", path.alias("path"), top["id"].alias("top_id"), top["title"].alias("top_title"))
 
 
 def resolve_category(products: DataFrame, paths: DataFrame, first: str, second: str, scanned: str) -> DataFrame:

@@ -214,10 +214,24 @@ def test_category_paths(spark):
     assert got["c"] == ("A / B / C", "a") and got["a"] == ("A", "a") and got["z"] == ("Z", "z") and got["x"] == ("Y / X", "y")
     deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"t{i}") for i in range(40)], "id string, parent_id string, title string")
     assert {r.id: (r.path.count(" / "), r.top_id) for r in categories.category_paths(deep).collect()} == {str(i): (i, "0") for i in range(40)}
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 5}", f"R{i}") for i in range(5)] + [("h", "r2", "H"), ("i", "h", "I"), ("s", "s", "S")], "id string, parent_id string, title string")
+    got = {r.id: (r.path, r.top_id) for r in categories.category_paths(ring).collect()}
+    assert got["r0"] == ("R4 / R3 / R2 / R1 / R0", "r4") and got["i"] == ("R1 / R0 / R4 / R3 / R2 / H / I", "r1") and got["s"] == ("S", "s")
     df = spark.createDataFrame([("c", None, None), ("?", "b", None), ("?", "?", "a"), (None, None, None)], "one string, two string, three string")
     assert [r.path for r in categories.resolve_category(df, paths, "one", "two", "three").collect()].count("Інше") == 1
 
 
+def test_paths_take_logarithmic_rounds(spark, monkeypatch):
+    """A chain of 1,500 nodes in 11 rounds; the first table is the start."""
+    from larder.sources import storage
+
+    written, write = [], storage.Scratch.write
+    monkeypatch.setattr(storage.Scratch, "write", lambda self, df, name: (written.append(name), write(self, df, name))[1])
+    chain = spark.range(1500).selectExpr("id", "if(id = 0, null, id - 1) AS parent_id", "'t' AS title")
+    got = categories.category_paths(chain).selectExpr("max(length(path)) AS longest", "min(top_id) AS low", "max(top_id) AS high").first()
+    assert (got.longest, got.low, got.high) == (1500 * 4 - 3, 0, 0) and len(written) <= 12
+
+
 def raw(spark, tmp_path):
     import json
 
