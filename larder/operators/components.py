@@ -40,15 +40,6 @@ def _folded(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(fold, "node long, component long, chunk long")
 
 
-def folded(edges: DataFrame, group: str) -> DataFrame:
-    """(node, component, chunk) of edges (src, dst long and the group) in groups of which no class spans two.
-
-    Groups are dealt to tasks. If all chunks are 0, each component is complete and the smallest node of its class; else
-    the rows are edges to go on from.
-    """
-    return _folded(edges.repartition(group))
-
-
 def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None], label: str = "components") -> DataFrame:
     """(node, component) of every node in ``edges`` (src, dst long); component is the smallest node reachable.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.metrics import js_round, pack_size, price_per_100g
 from larder.functions.text import fold, fold_col, tokens_col
-from larder.operators.components import connected_components, folded
+from larder.operators.components import connected_components
 from larder.sources.storage import Scratch
 
 SIMILAR, MAX_RATIO = 0.6, 2.0
@@ -56,45 +56,68 @@ def matching_keys(products: DataFrame) -> DataFrame:
 KEYS = ["b", "size", "pct", "cnt"]
 
 
+#: A token with a HOT-th of all token places or more comes last in the order, so there are at most HOT of them.
+HOT = 256
+#: Rows of a key that share a token and meet in one cell.
+CELL = 2048
+
+
 def similar_pairs(keyed: DataFrame) -> DataFrame:
     """(src, dst) of rows with equal keys whose tokens overlap enough, src before dst, in buckets of several stores."""
-    return _met(keyed).select("src", "dst").distinct()
+    return _met(keyed, Scratch(keyed.sparkSession, "pairs")).distinct()
+
+
+def _ordered_tokens(rows: DataFrame) -> DataFrame:
+    """Rows with their tokens in an order that all rows share: by hash, the frequent ones last."""
+    held = rows.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    places = rows.agg(F.sum(F.size("toks")).alias("n")).first()["n"] or 0
+    hot = held.where(F.col("n") * HOT >= places).orderBy("n", "t").collect()  # at most HOT
+    if not hot:
+        rank = lambda t: F.lit(0)
+    else:
+        late = F.array(*[F.lit(r.t) for r in hot])
+        rank = lambda t: F.array_position(late, t)
+    ordered = F.array_sort(F.transform("toks", lambda t: F.struct(rank(t).alias("late"), F.xxhash64(t).alias("h"), t.alias("t"))))
+    return rows.withColumn("toks", F.transform(ordered, lambda x: x["t"]))
 
 
-def _met(keyed: DataFrame) -> DataFrame:
-    """The same with the bucket, and once for each token that two rows meet by.
+def _met(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same, once for each token that two rows meet by.
 
     Prefix filter: with a common order of tokens, two sets that overlap enough share one of the first
-    n - ceil(0.6 n) + 1 tokens, so rows meet by key and such a token instead of all in their bucket; rarer tokens, by the
-    number of rows that hold them, come first in the order.
+    n - ceil(0.6 n) + 1 tokens, so rows meet by key and such a token instead of all in their bucket; their sizes and the
+    tokens left behind the shared one rule most out before sets are compared. The rows of a key and token are dealt into
+    parts of some CELL rows, and meet in one cell for each two parts: a crowded key is the work of many tasks.
     """
     wide = keyed.groupBy(*KEYS).agg(F.min("store").alias("lo"), F.max("store").alias("hi")).where("lo < hi").select(*KEYS)
-    rows = keyed.join(wide, KEYS, "left_semi").where(F.size("toks") > 0).select("ord", F.xxhash64(*KEYS).alias("bucket"), F.struct(*KEYS).alias("key"), "toks")
-    held = rows.select("ord", "bucket", "key", F.size("toks").alias("n"), F.explode("toks").alias("t"))
-    counted = held.join(held.groupBy("t").agg(F.count("*").alias("often")), "t")
-    ranked = counted.groupBy("ord", "bucket", "key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ranked"))
-    rows = ranked.withColumn("toks", F.transform("ranked", lambda x: x["t"]))
-    first = F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
-    probes = rows.select("ord", "bucket", "key", "toks", F.explode(first).alias("t"))
-    left = probes.select("bucket", "key", "t", F.col("ord").alias("src"), F.col("toks").alias("a"))
-    right = probes.select("bucket", "key", "t", F.col("ord").alias("dst"), F.col("toks").alias("z"))
-    shared = F.size(F.array_intersect("a", "z"))
-    return left.join(right, ["bucket", "key", "t"]).where((F.col("src") < F.col("dst")) & (shared / (F.size("a") + F.size("z") - shared) >= SIMILAR))
+    rows = keyed.join(wide, KEYS, "left_semi").where(F.size("toks") > 0).select("ord", F.struct(*KEYS).alias("key"), F.xxhash64(*KEYS).alias("bucket"), "toks")
+    rows = _ordered_tokens(scratch.write(rows, "rows"))
+    n = F.size("toks")
+    first = F.slice("toks", F.lit(1), n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1)
+    probes = scratch.write(rows.select("ord", "bucket", "key", "toks", F.posexplode(first).alias("at", "t")), "probes")
+    crowds = probes.groupBy("bucket", "t").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("bucket", "t", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    dealt = probes.join(crowds, ["bucket", "t"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    dealt = dealt.select("bucket", "t", *cell, "part", "key", "ord", "toks", F.size("toks").alias("size"), "at")
+    left, right = dealt.where("part = low").alias("x"), dealt.where("part = high").alias("y")
+    once = (F.col("x.low") < F.col("x.high")) | (F.col("x.ord") < F.col("y.ord"))
+    # what two sets can share at most: this token and what either has behind it
+    most = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + F.least("x.at", "y.at")
+    may = most >= F.ceil((F.col("x.size") + F.col("y.size")) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    same_cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "t", "low", "high", "key")]
+    met = left.join(right, [*same_cell, once, may])
+    shared = F.size(F.array_intersect("x.toks", "y.toks"))
+    met = met.where(shared / (F.col("x.size") + F.col("y.size") - shared) >= SIMILAR)
+    return met.select(F.least("x.ord", "y.ord").alias("src"), F.greatest("x.ord", "y.ord").alias("dst"))
 
 
 def item_clusters(products: DataFrame) -> DataFrame:
-    """(ord, id, store, per100, component) of all rows linked to another; rows without a price link too.
-
-    A class lies in one bucket, and a bucket in one task, which folds its links; only if one has too many links to fold
-    at once do rounds over written tables go on from there.
-    """
+    """(ord, id, store, per100, component) of all rows linked to another; rows without a price link too. Tasks fold the links
+    that they find; what is left goes through connected_components()."""
     scratch = Scratch(products.sparkSession, "crossstore")
     keyed = scratch.write(matching_keys(products), "keyed")
-    classes = scratch.write(folded(_met(keyed), "bucket"), "folded")
-    if classes.where("chunk > 0").isEmpty():
-        classes = classes.select("node", "component")
-    else:
-        classes = connected_components(classes.select(F.col("node").alias("src"), F.col("component").alias("dst")), scratch.write, scratch.drop)
+    classes = connected_components(_met(keyed, scratch), scratch.write, scratch.drop)
     return keyed.join(classes.withColumnRenamed("node", "ord"), "ord").select("ord", "id", "store", "per100", "component")
 
 

@@ -326,3 +326,22 @@ def test_stream_keeps_the_newest_document(spark, tmp_path):
     assert price() == [2.0]
     arrive("4.json", "2026-01-03T00:00:00Z", 3.0)
     assert price() == [3.0]
+
+
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_crowded_key(spark, monkeypatch, cell):
+    """One brand and size with most rows, which share a token: the same pairs, and no cell has many rows."""
+    import random
+
+    monkeypatch.setattr(crossstore, "CELL", cell)
+    rng = random.Random(2)
+    rows = [{"brand": "B" if i % 8 else f"C{i % 5}", "store": ("a", "b")[(i // 8 + i) % 2], "title": " ".join(["товар", *sorted(rng.sample(["рис", "чай", "сік", "мед", "сіль"], rng.randint(0, 3)))])} for i in range(160)]
+    keyed = crossstore.matching_keys(products(spark, *rows)).collect()
+    want = set()
+    for x in keyed:
+        for y in keyed:
+            a, b = set(x.toks), set(y.toks)
+            if x.ord < y.ord and (x.b, x["size"], x.pct, x.cnt) == (y.b, y["size"], y.pct, y.cnt) and a and b and len(a & b) / len(a | b) >= 0.6:
+                want.add((x.ord, y.ord))
+    got = crossstore.similar_pairs(crossstore.matching_keys(products(spark, *rows)))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 1000
