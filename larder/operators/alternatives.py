@@ -67,23 +67,33 @@ def alternatives(products: DataFrame, store: str = "all", limit: int = 5, source
     return out.select(F.col("id").alias("source_id"), F.col("rank").cast("long").alias("rank"), F.col("alt").alias("id"), "shared", F.col("d").alias("density"), cheaper.alias("cheaper"))
 
 
-def has_alternative(products: DataFrame, store: str = "all") -> DataFrame:
-    """(id) of the products with an alternative: of each category and token only the two densest candidates matter."""
-    probes = _candidates(products, store).select("cat", "id", "density", F.explode("toks").alias("t"))
-    best = probes.groupBy("cat", "t").agg(F.max_by(F.struct("id", "density"), "density").alias("first"))
-    # the densest but that one: a source may be the densest itself
-    rest = probes.join(best, ["cat", "t"]).where(F.col("id") != F.col("first.id")).groupBy("cat", "t").agg(F.max("density").alias("second"))
-    tops = best.join(rest, ["cat", "t"], "left").select("cat", "t", F.col("first.id").alias("top"), F.col("first.density").alias("most"), "second")
+def have_alternatives(products: DataFrame, stores: list[str]) -> DataFrame:
+    """(store, id) of the products with an alternative in each of ``stores`` (``all``: in any store), from one pass over
+    the catalogue: of each store, category and token only the two densest candidates matter."""
+    candidates = _candidates(products, "all").select("cat", "id", "density", "store", "toks")
+    offered = F.filter(F.array(F.col("store"), F.lit("all")), lambda s: s.isin(stores))
+    probes = candidates.select("cat", "id", "density", F.explode("toks").alias("t"), offered.alias("stores")).select("cat", "id", "density", "t", F.explode("stores").alias("store"))
+    # of equally dense ones any may be first: the other is as dense
+    seen = F.struct("density", "id")
+    best = probes.groupBy("store", "cat", "t").agg(F.max(seen).alias("first"))
+    rest = probes.join(best, ["store", "cat", "t"]).where(F.col("id") != F.col("first.id")).groupBy("store", "cat", "t").agg(F.max("density").alias("second"))
+    tops = best.join(rest, ["store", "cat", "t"], "left").select("store", "cat", "t", F.col("first.id").alias("top"), F.col("first.density").alias("most"), "second")
     wanted = _sources(products).select("cat", "id", "density", F.explode("toks").alias("t"))
     most = F.when(F.col("top") == F.col("id"), F.col("second")).otherwise(F.col("most"))
-    return wanted.join(tops, ["cat", "t"]).where(most >= F.col("density") * DENSITY_GAIN).select("id").distinct()
+    return wanted.join(tops, ["cat", "t"]).where(most >= F.col("density") * DENSITY_GAIN).select("store", "id").distinct()
+
+
+def has_alternative(products: DataFrame, store: str = "all") -> DataFrame:
+    """(id) of the products with an alternative in a store."""
+    return have_alternatives(products, [store]).select("id")
 
 
 def keep_alternatives(products: DataFrame, stores: list[str], path: str) -> None:
     """Write has_alternative() of each of ``stores``, and of ``all``, below ``path``, a partition a store, so that later
-    requests only read ids. Stores that are there already are replaced, others stay."""
-    for store in [*stores, "all"]:
-        has_alternative(products, store).write.mode("overwrite").parquet(f"{path}/store={store}")
+    requests only read ids. Stores that are there already are replaced, others stay. The catalogue is read once."""
+    found = Scratch(products.sparkSession, "kept").write(have_alternatives(products, [*stores, "all"]), "found")
+    for store in dict.fromkeys([*stores, "all"]):
+        found.where(F.col("store") == store).select("id").write.mode("overwrite").parquet(f"{path}/store={store}")
 
 
 def kept_alternatives(spark: SparkSession, path: str, store: str = "all") -> DataFrame:
