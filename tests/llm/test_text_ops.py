@@ -324,6 +324,37 @@ NOTICES = [
 ]
 
 
+#: Denied licenses, SPDX expressions, short forms and full texts; the names are written down by hand.
+MORE_NOTICES = [
+    ("This project is not licensed under the MIT License.", ""), ("The data is no longer available under the MIT License", ""), ("This isn't released under the MIT license.", ""),
+    ("Not distributed under the terms of the GNU General Public License version 2.", ""), ("You may not distribute this software under the Apache License, Version 2.0.", ""),
+    ("This is not licensed under the MIT License but under the Apache License, Version 2.0.", "Apache-2.0"), ("This is licensed under the MIT license and not under the GNU General Public License, version 2.", "MIT"),
+    ("It may not be distributed except under the terms of the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0"), ("// SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC\nint main;", "MIT,BSD-3-Clause,ISC"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only WITH Classpath-exception-2.0"), ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0-only"), ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT", "GPL-2.0-only WITH Linux-syscall-note,MIT"), ("SPDX-License-Identifier: LicenseRef-mine OR MIT", "MIT"),
+    ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: CC-BY-NC-ND-4.0", "MIT,CC-BY-NC-ND-4.0"), ("SPDX-License-Identifier: MIT\nReleased under the ISC license.", "ISC,MIT"), ("SPDX-License-Identifier:", ""),
+    ("SPDX-License-Identifier: mit", "MIT"), ("SPDX-License-Identifier: GPL-2.0-only WITH Nothing-known", "GPL-2.0-only"),
+    ("License: MIT", "MIT"), ("Licensed under the GPLv3", "GPL-3.0-only"), ("License: GPLv3+", "GPL-3.0-or-later"), ("GNU GPL, version 3", "GPL-3.0-only"), ("Licensed under the LGPL v2.1 or later.", "LGPL-2.1-or-later"), ("License: AGPL-3.0-only", "AGPL-3.0-only"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it.", "Zlib"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("Creative Commons Attribution-ShareAlike 3.0 Unported", "CC-BY-SA-3.0"), ("                                 Apache License\n                           Version 2.0, January 2004", "Apache-2.0"), ("License: Apache-2.0", "Apache-2.0"),
+    ("Licensed under the 3-clause BSD license", "BSD-3-Clause"), ("License: BSD-2-Clause", "BSD-2-Clause"), ("MIT License\n\nCopyright (c) 2020", "MIT"), ("A licensed plumber is not available under the bridge.", ""),
+]
+
+
+def test_license_denials_and_expressions(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(MORE_NOTICES)]
+    rows += [(900, "SPDX-License-Identifier: " + "MIT OR " * 200_000 + "ISC"), (901, "license not " + "be " * 300_000 + "licensed under x"), (902, "license not licensed under " * 20_000)]
+    rows += [(903, "see license " * 50_000), (904, "gnu general public license version 2 any " * 20_000), (905, "license " + "." * 500_000 + "x"), (906, "license" + "!" * 500_000)]
+    df = docs(spark, rows)
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(df).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(MORE_NOTICES)} == dict(MORE_NOTICES)
+    assert [got[i] for i in (900, 901, 902, 903, 904, 905, 906)] == ["MIT,ISC", "", "", "", "GPL-2.0-only", "", ""]
+    few = docs(spark, rows[: len(MORE_NOTICES)])
+    same(license_scan.scan_licenses(few), oracle(license_scan.OP4_SQL, documents=few.toPandas().astype({"doc_id": "Int64"})))
+
+
 def test_license_names(spark):
     got = license_scan.scan_licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(NOTICES)])).collect()
     assert {r.doc_id: r.licenses for r in got} == {i: name for i, (_, name) in enumerate(NOTICES)}
