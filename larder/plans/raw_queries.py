@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import metrics, parsing, text
 from larder.operators import alternatives, categories, crossstore, facets
 from larder.sources import catalog as source
-from larder.sources import snapshots
+from larder.sources import snapshots, versions
 from larder.sources.catalog import PRODUCTS_SQL, derived_products
 from larder.sources.storage import Scratch
 
@@ -197,6 +197,45 @@ UNION ALL SELECT CAST(k AS STRING), 'cached', CASE WHEN k % 4 <> 0 THEN k % 50 +
 """
 
 
+def snapshot_versions(spark, sf_dir):
+    """The three tables of a catalogue, after an older version and beside one that its writer left half-way."""
+    path = Scratch(spark, "versions").path("out")
+    p = derived_products(spark, sf_dir)
+
+    def tables(rows):
+        return {"products": rows.select("id", "ord", "price"), "categories": facets.category_summary(rows).select("cat", "count"), "meta": facets.snapshot_stats(rows).select("store", "totalKept")}
+
+    versions.write_version(tables(p.where("store = 'north'")), path)
+    versions.write_version(tables(p), path)
+    started = versions.Versions(spark, path)
+    tables(p.limit(0))["products"].write.parquet(f"{path}/{started.folder()}/products")
+    got = versions.read_version(spark, path)
+    categories_ = got["categories"].select(F.concat(F.lit("category "), "cat").alias("id"), F.col("count").alias("n"), F.lit(None).cast("double").alias("price"))
+    meta = got["meta"].select(F.concat(F.lit("meta "), F.coalesce("store", F.lit("all"))).alias("id"), F.col("totalKept").alias("n"), F.lit(None).cast("double").alias("price"))
+    return got["products"].select("id", F.col("ord").alias("n"), "price").unionByName(categories_).unionByName(meta)
+
+
+#: Flushes of the cache below; part k is fetched in the flushes k % 7 and k % 5.
+FLUSHES = 7
+
+
+def detail_runs(spark, sf_dir):
+    """A cache after several flushes and merges: what is known, and what is still missing of all parts."""
+    cache = versions.DetailCache(spark, Scratch(spark, "details").path("cache"), "double")
+    ids = _part(spark, sf_dir, id="CAST(k AS STRING)")
+    for i in range(FLUSHES):
+        fetched = ids.where(f"(k % 7 = {i} OR k % 5 = {i}) AND k % 11 <> 0")
+        cache.flush(fetched.select("id", F.expr(f"CASE WHEN (k + {i}) % 4 <> 0 THEN CAST(k * 10 + {i} AS DOUBLE) END").alias("detail")))
+    known = cache.rows().select("id", F.lit("cached").alias("state"), "detail")
+    return known.unionByName(cache.missing(ids.select("id")).select("id", F.lit("missing").alias("state"), F.lit(None).cast("double").alias("detail")))
+
+
+DETAIL_RUNS_SQL = f"""
+SELECT CAST(k AS STRING) AS id, CASE WHEN k % 11 = 0 THEN 'missing' ELSE 'cached' END AS state,
+  CASE WHEN k % 11 <> 0 AND (k + greatest(k % 7, k % 5)) % 4 <> 0 THEN CAST(k * 10 + greatest(k % 7, k % 5) AS DOUBLE) END AS detail FROM {K}
+"""
+
+
 def _tree(spark, sf_dir):
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.expr("'r' || r_regionkey AS id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.expr("'n' || n_nationkey AS id"), F.expr("'r' || n_regionkey AS parent_id"), F.col("n_name").alias("title"))
@@ -318,7 +357,7 @@ def queries_sql(with_alternatives, with_pairs) -> dict:
     return {
         "parse_numbers": (parse_numbers, PARSE_NUMBERS_SQL), "parse_nutrition": (parse_nutrition, PARSE_NUTRITION_SQL), "parse_sizes": (parse_sizes, PARSE_SIZES_SQL), "parse_fields": (parse_fields, PARSE_FIELDS_SQL),
         "display_labels": (display_labels, DISPLAY_SQL), "raw_merge": (raw_merge, RAW_MERGE_SQL), "unmapped_sections": (unmapped_sections, UNMAPPED_SQL), "snapshot_documents": (snapshot_documents, DOCUMENTS_SQL),
-        "snapshot_files": (snapshot_files, SNAPSHOT_FILES_SQL), "detail_cache": (detail_cache, DETAIL_CACHE_SQL), "category_resolution": (category_resolution, RESOLUTION_SQL), "deep_paths": (deep_paths, DEEP_PATHS_SQL),
+        "snapshot_files": (snapshot_files, SNAPSHOT_FILES_SQL), "detail_cache": (detail_cache, DETAIL_CACHE_SQL), "snapshot_versions": (snapshot_versions, SNAPSHOT_FILES_SQL), "detail_runs": (detail_runs, DETAIL_RUNS_SQL), "category_resolution": (category_resolution, RESOLUTION_SQL), "deep_paths": (deep_paths, DEEP_PATHS_SQL),
         "category_order": (category_order, CATEGORY_ORDER_SQL), "listing_pages": (listing_pages, LISTING_SQL), "surface_tokens": (surface_tokens, SURFACE_SQL),
         "kept_alternatives": (kept_alternatives, with_alternatives("SELECT DISTINCT s.id FROM s JOIN c ON s.cat = c.cat AND s.id <> c.id AND c.store = 'south' AND c.density >= s.density * 1.2 WHERE list_has_any(s.toks, c.toks)")),
         "pair_lookup": (pair_lookup, with_pairs("SELECT f.id, a.title, a.per100, f.otherId, b.title AS otherTitle, b.per100 AS otherPer100, least(a.per100, b.per100) AS lowest, f.deltaPct FROM final f JOIN p a ON a.id = f.id JOIN p b ON b.id = f.otherId")),
