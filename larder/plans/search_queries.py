@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from larder.functions import dictionary
 from larder.functions.distance import ANCHORED
 from larder.functions.text import tokens_col
-from larder.operators import fuzzy
-from larder.plans.expressions import TOKENS
+from larder.operators import fuzzy, stored_index
+from larder.plans.expressions import FOLD, TOKENS
+from larder.sources.catalog import PRODUCTS_SQL, derived_products
 from larder.sources.storage import Scratch, spread
 
 #: Documents a token must be in to be typed by somebody.
@@ -67,6 +68,20 @@ def dictionary_words(spark, sf_dir):
     return typed.join(found, "word").select("k", "word", "phrase")
 
 
+#: A word of a part's name as somebody types it: whole, its beginning, without the fourth letter, or two letters swapped.
+ASKED = "CASE (length({w}) + k) % 4 WHEN 0 THEN {w} WHEN 1 THEN substr({w}, 1, 3) WHEN 2 THEN substr({w}, 1, 3) || substr({w}, 5) ELSE substr({w}, 1, 3) || substr({w}, 5, 1) || substr({w}, 4, 1) || substr({w}, 6) END"
+_NAME = "CASE WHEN contains(p_name, ' ') THEN substr(p_name, 1, position(' ' in p_name) - 1) ELSE p_name END", "CASE WHEN contains(p_name, ' ') THEN substr(p_name, position(' ' in p_name) + 1) ELSE p_name END"
+
+
+def indexed_search(spark, sf_dir):
+    """A query for each part, two words and its size, all answered from one stored index of the catalogue."""
+    path = Scratch(spark, "index").path("products")
+    stored_index.write_index(derived_products(spark, sf_dir), path)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.expr(_NAME[0]).alias("one"), F.expr(_NAME[1]).alias("two"), (F.col("p_size") * 10).cast("string").alias("size"))
+    asked = parts.select(F.col("k").alias("query_id"), F.concat_ws(" ", F.expr(ASKED.format(w="one")), F.expr(ASKED.format(w="two")), "size").alias("query"))
+    return stored_index.search_many(spark, path, asked)
+
+
 BUDGET_SQL = "CASE WHEN regexp_full_match(word, '[0-9]+') THEN 0 WHEN length(word) <= 2 THEN 0 WHEN length(word) = 3 THEN 0.5 WHEN length(word) <= 6 THEN 1 WHEN length(word) <= 8 THEN 1.5 ELSE 2 END"
 
 
@@ -97,7 +112,18 @@ _VOCABULARY_SQL = f"vocabulary AS MATERIALIZED (SELECT w AS token, count(DISTINC
 _FUZZY_SQL = f"WITH RECURSIVE {_TYPED_SQL}, {_VOCABULARY_SQL}, {distances_sql('typed', 'vocabulary')}"
 _ENTRIES_SQL = ", ".join(f"({i}, '{e.key}', '{' '.join(p)}')" for i, e in enumerate(dictionary.entries()) for p in e.phrases)
 
+_OFFER_TEXT = TOKENS.format("concat_ws(' ', title, brand, path)")
+_OFFER_TOKENS = f"postings AS MATERIALIZED (SELECT DISTINCT ord, unnest({_OFFER_TEXT}) AS token FROM ({PRODUCTS_SQL}) p)"
+_ASKED_SQL = f"""requests AS MATERIALIZED (SELECT k, {FOLD.format(ASKED.format(w='one'))} AS w1, {FOLD.format(ASKED.format(w='two'))} AS w2, size AS w3 FROM (SELECT p_partkey AS k, {_NAME[0]} AS one, {_NAME[1]} AS two, CAST(p_size * 10 AS VARCHAR) AS size FROM part))"""
+
 QUERIES = {
+    "indexed_search": (
+        indexed_search,
+        f"""WITH RECURSIVE {_OFFER_TOKENS}, {_ASKED_SQL}, offered AS (SELECT DISTINCT token FROM postings),
+  typed AS (SELECT w1 AS word FROM requests UNION SELECT w2 FROM requests UNION SELECT w3 FROM requests), {distances_sql('typed', 'offered')},
+  fits AS MATERIALIZED (SELECT DISTINCT word, ord FROM judged JOIN postings USING (token))
+  SELECT k AS query_id, c.ord FROM requests JOIN fits c ON c.word = w3 JOIN fits a ON a.word = w1 AND a.ord = c.ord JOIN fits b ON b.word = w2 AND b.ord = c.ord""",
+    ),
     "fuzzy_words": (fuzzy_words, f"{_FUZZY_SQL} SELECT word, token, dist FROM judged"),
     "fuzzy_suggestions": (
         fuzzy_suggestions,
