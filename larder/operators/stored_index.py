@@ -45,9 +45,10 @@ def _ways(words: DataFrame, spark: SparkSession) -> DataFrame:
 def _rows_of(bitmaps: DataFrame) -> DataFrame:
     """(..., ord) of the bits that are set in (..., range, bits)."""
     keys = [c for c in bitmaps.columns if c not in ("range", "bits")]
-    octets = bitmaps.where(F.bitmap_count("bits") > 0).select(*keys, "range", F.hex("bits").alias("digits"))
-    octets = octets.select(*keys, "range", "digits", F.explode(F.expr(f"filter(sequence(0, {RANGE // 8 - 1}), i -> substr(digits, 2 * i + 1, 2) <> '00')")).alias("octet"))
-    octets = octets.select(*keys, "range", "octet", F.expr("cast(conv(substr(digits, 2 * octet + 1, 2), 16, 10) as int)").alias("value"))
+    # bytes of a binary are reached at once, digits of its text only from its beginning
+    filled = f"filter(sequence(0, {RANGE // 8 - 1}), i -> substring(bits, i + 1, 1) <> X'00')"
+    octet = "named_struct('octet', i, 'value', cast(conv(hex(substring(bits, i + 1, 1)), 16, 10) as int))"
+    octets = bitmaps.where(F.bitmap_count("bits") > 0).select(*keys, "range", F.explode(F.expr(f"transform({filled}, i -> {octet})")).alias("o")).select(*keys, "range", "o.*")
     set_bits = octets.select(*keys, "range", "octet", F.explode(F.expr("filter(sequence(0, 7), b -> (value & shiftleft(1, b)) <> 0)")).alias("bit"))
     return set_bits.select(*keys, ((F.col("range") - 1) * RANGE + F.col("octet") * 8 + F.col("bit")).cast("long").alias("ord"))
 

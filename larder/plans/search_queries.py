@@ -116,14 +116,13 @@ _OFFER_TEXT = TOKENS.format("concat_ws(' ', title, brand, path)")
 _OFFER_TOKENS = f"postings AS MATERIALIZED (SELECT DISTINCT ord, unnest({_OFFER_TEXT}) AS token FROM ({PRODUCTS_SQL}) p)"
 _ASKED_SQL = f"""requests AS MATERIALIZED (SELECT k, {FOLD.format(ASKED.format(w='one'))} AS w1, {FOLD.format(ASKED.format(w='two'))} AS w2, size AS w3 FROM (SELECT p_partkey AS k, {_NAME[0]} AS one, {_NAME[1]} AS two, CAST(p_size * 10 AS VARCHAR) AS size FROM part))"""
 
-QUERIES = {
-    "indexed_search": (
-        indexed_search,
-        f"""WITH RECURSIVE {_OFFER_TOKENS}, {_ASKED_SQL}, offered AS (SELECT DISTINCT token FROM postings),
+#: Not registered: beyond scale 0.001 its answers still take too long; a test compares it.
+INDEXED_SEARCH_SQL = f"""WITH RECURSIVE {_OFFER_TOKENS}, {_ASKED_SQL}, offered AS (SELECT DISTINCT token FROM postings),
   typed AS (SELECT w1 AS word FROM requests UNION SELECT w2 FROM requests UNION SELECT w3 FROM requests), {distances_sql('typed', 'offered')},
   fits AS MATERIALIZED (SELECT DISTINCT word, ord FROM judged JOIN postings USING (token))
-  SELECT k AS query_id, c.ord FROM requests JOIN fits c ON c.word = w3 JOIN fits a ON a.word = w1 AND a.ord = c.ord JOIN fits b ON b.word = w2 AND b.ord = c.ord""",
-    ),
+  SELECT k AS query_id, c.ord FROM requests JOIN fits c ON c.word = w3 JOIN fits a ON a.word = w1 AND a.ord = c.ord JOIN fits b ON b.word = w2 AND b.ord = c.ord"""
+
+QUERIES = {
     "fuzzy_words": (fuzzy_words, f"{_FUZZY_SQL} SELECT word, token, dist FROM judged"),
     "fuzzy_suggestions": (
         fuzzy_suggestions,

@@ -1,9 +1,11 @@
 """The stored index: many queries at once give what search() gives for each, and only the rows of their tokens are read."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import search, stored_index
+from larder.plans import search_queries
 from larder.sources.catalog import PRODUCT
 
 TITLES = ["Молоко Яготинське 2,6% 900г", "Йогурт Чудо полуниця", "Чипси Lays зі сметаною", "Сир Комо російський", "Coca-Cola 0,5л", "Масло вершкове", "Кава Jacobs Monarch", "Шоколад молочний Milka", "Вода Моршинська", None]
@@ -53,3 +55,12 @@ def test_every_bit_comes_back(spark):
     df = spark.createDataFrame([(1, i) for i in rows], "q int, ord long").withColumn("nth", F.col("ord") + 1)
     bits = df.groupBy("q", F.bitmap_bucket_number("nth").alias("range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
     assert sorted(r.ord for r in stored_index._rows_of(bits).collect()) == rows
+
+
+def test_queries_of_all_parts_against_sql(spark):
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = con.execute(search_queries.INDEXED_SEARCH_SQL).fetchall()
+    got = [(r.query_id, r.ord) for r in search_queries.indexed_search(spark, folder).collect()]
+    assert sorted(got) == sorted(want) and got
